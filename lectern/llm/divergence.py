@@ -154,35 +154,46 @@ def word_distance(histogram: Column, n_words: Column, reference: dict[str, float
     return F.sqrt(F.greatest(F.aggregate(histogram, start, add, finish) / 2, F.lit(0.0)))
 
 
-def measured(docs: DataFrame, refs: References, limits: Limits | None = None, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept, each named with prefix.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+
+
+def measures(text: Column, refs: References, limits: Limits | None = None) -> Column:
+    """A struct of MEASURES for a text, as one expression: whatever Catalyst moves, each part is computed once a row.
 
     Distances are the least over the languages; null where there are no references or the text is
     shorter than the guards (min_chars, min_words), and then they do not fail a document. A null text has no
-    words: all counts 0, base_failed, not kept. Every other column passes through untouched.
+    words: all counts 0, base_failed, not kept.
     """
     limits = limits or Limits()
-    t, words = f"{prefix}_text_", f"{prefix}_words_"
-    df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    df = df.withColumn(words, word_array(F.col(t))).withColumn(f"{prefix}_classes_", class_counts(F.col(t)))
     common = sorted({w for ref in refs.words.values() for w in ref})
-    least = lambda v: F.least(*v) if len(v) > 1 else (v[0] if v else F.lit(None).cast("double"))
-    c, n = F.col(f"{prefix}_classes_"), F.col(f"{prefix}n_words")
-    df = df.withColumn(f"{prefix}n_words", F.size(words).cast("long"))
-    df = df.withColumn(f"{prefix}word_chars", (F.length(t) - F.get(c, F.lit(1))).cast("long"))
-    df = df.withColumn(f"{prefix}n_symbols", F.when(F.get(c, F.lit(6)) == 0, F.lit(0).cast("long")).otherwise(F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long")))
-    df = df.withColumn(f"{prefix}n_dup_lines", duplicate_lines(F.col(t)))
-    df = df.withColumn(f"{prefix}n_repeat_words", repeated_words(F.col(words)))
-    df = df.withColumn(f"{prefix}base_failed", (n < 20) | (100 * F.col(f"{prefix}n_repeat_words") > 30 * n))
-    chars = least([class_distance(c, q) for _, q in sorted(refs.classes.items())])
-    df = df.withColumn(f"{prefix}char_distance", F.when(F.length(t) >= limits.min_chars, chars))
-    by_word = let(word_histogram(F.col(words), common), lambda h: least([word_distance(h, n, q) for _, q in sorted(refs.words.items())])) if common else F.lit(None).cast("double")
-    df = df.withColumn(f"{prefix}word_distance", F.when(n >= limits.min_words, by_word))
-    fails = F.coalesce(F.col(f"{prefix}char_distance") > limits.char_distance, F.lit(False)) | F.coalesce(F.col(f"{prefix}word_distance") > limits.word_distance, F.lit(False))
-    return df.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~fails).drop(t, words, f"{prefix}_classes_")
+    none = F.lit(None).cast("double")
+    least = lambda v: F.least(*v) if len(v) > 1 else (v[0] if v else none)
+
+    def of(t: Column, words: Column, classes: Column) -> Column:
+        n = F.size(words).cast("long")
+        by_class = F.when(F.length(t) >= limits.min_chars, least([class_distance(classes, q) for _, q in sorted(refs.classes.items())])).otherwise(none)
+        by_word = let(word_histogram(words, common), lambda h: least([word_distance(h, n, q) for _, q in sorted(refs.words.items())])) if common else none
+        by_word = F.when(n >= limits.min_words, by_word).otherwise(none)
+        symbols = F.when(F.get(classes, F.lit(6)) == 0, F.lit(0)).otherwise(F.regexp_count(t, F.lit("[#*$%&|<>]"))).cast("long")
+
+        def verdict(repeats: Column, dc: Column, dw: Column) -> Column:
+            failed = (n < 20) | (100 * repeats > 30 * n)
+            far = F.coalesce(dc > limits.char_distance, F.lit(False)) | F.coalesce(dw > limits.word_distance, F.lit(False))
+            values = (n, (F.length(t) - F.get(classes, F.lit(1))).cast("long"), symbols, duplicate_lines(t), repeats, failed, dc, dw, ~failed & ~far)
+            return F.struct(*[v.alias(k) for k, v in zip(MEASURES, values, strict=True)])
+
+        return let(repeated_words(words), lambda r: let(by_class, lambda dc: let(by_word, lambda dw: verdict(r, dc, dw))))
+
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return let(whole, lambda t: let(word_array(t), lambda w: let(class_counts(t), lambda c: of(t, w, c))))
+
+
+def kept(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of docs, with their own columns, that the rules keep, against references of all docs."""
+    return docs.where(measures(F.col("text"), build_references(docs), limits)["kept"])
 
 
 def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """doc_id with the counts, distances and verdict of measured(), against references of all docs."""
-    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build_references(docs), limits)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    """doc_id with the counts, distances and verdict of measures(), against references of all docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text"), build_references(docs), limits).alias("m"))
+    return rows.select("doc_id", *[f"m.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")])
