@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm import divergence, packing, simhash, toxicity
 from lectern.llm.common import drop_path, scratch_path, table
 
-PREFIX = "lectern_quality_"
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, against references of all docs."""
-    rows = divergence.measured(docs, divergence.build_references(docs), prefix=PREFIX)
-    return rows.where(f"{PREFIX}kept").select(docs.columns)
+    return divergence.kept(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
