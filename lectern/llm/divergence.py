@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_GAP
+from lectern.llm.common import WORD_GAP, stored
 
 GAP_CHARS = " \t\n\x0b\f\r"
 CLASSES = ("lower", "gap", "upper", "digit", "point", "other_letter", "symbol")
@@ -94,9 +94,9 @@ def build_references(docs: DataFrame, min_share: float = MIN_SHARE, language_sha
     """References of the languages in docs.lang, from all its texts. Rows without a language or words give nothing; an empty table gives no references."""
     named = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     each = named.select("lang", F.explode(word_array(F.col("text"))).alias("word"))
-    buckets = each.groupBy("lang", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    # Words of a language, and its buckets that can hold a common word: at most 1 / min_share of them.
-    by_bucket = buckets.groupBy("lang").agg(F.sum("n").alias("total"), F.max("n").alias("top"))
+    # Written, as it is read twice: for each language its words, and the buckets that can hold a common word, of which there are at most 1 / min_share.
+    buckets = stored(each.groupBy("lang", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")), "word-buckets")
+    by_bucket = buckets.groupBy("lang").agg(F.sum("n").alias("total"))
     totals = {r["lang"]: r["total"] for r in by_bucket.orderBy(F.desc("total"), "lang").limit(math.ceil(1 / language_share)).collect()}
     whole = sum(totals.values())
     totals = {k: n for k, n in totals.items() if n >= language_share * whole}
