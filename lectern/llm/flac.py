@@ -22,6 +22,7 @@ from lectern.llm.common import arrow_bytes, slices
 
 BLOCK = 192  # samples of a frame: block size code 1 of the format
 SEEK_EVERY = 32  # frames from one seek point to the next
+CHUNK = 4096  # frames treated at once, whatever the documents' lengths
 #: Fixed values of the format: predictors of order 0 to 4 as coefficients of earlier samples.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 LPC_PRECISION, LPC_SHIFT = 12, 9
@@ -89,16 +90,32 @@ def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
     Each frame takes the cheapest of a constant, the fixed predictors, with lpc_order an adaptive
     predictor of that order, and verbatim samples.
     """
-    if not payloads:
-        return []
     if any(len(p) % BLOCK or not p for p in payloads):
         raise FlacError("a payload is a positive multiple of the block size")
+    if not payloads:
+        return []
     per_doc = np.array([len(p) // BLOCK for p in payloads])
     first = np.concatenate([[0], np.cumsum(per_doc)])
-    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK).astype(np.int32) - 128
-    n = len(x)
-    number = np.arange(n) - np.repeat(first[:-1], per_doc)
+    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
+    number = np.arange(len(samples)) - np.repeat(first[:-1], per_doc)
+    parts = [_encode_frames(samples[i : i + CHUNK].astype(np.int32) - 128, number[i : i + CHUNK], lpc_order) for i in range(0, len(samples), CHUNK)]
+    coded, size = b"".join([p[0].tobytes() for p in parts]), np.concatenate([p[1] for p in parts])
+    start = np.concatenate([[0], np.cumsum(size)])
+    done = []
+    for d, payload in enumerate(payloads):
+        a, b = first[d], first[d + 1]
+        seek = b"".join(struct.pack(">QQH", (f - a) * BLOCK, start[f] - start[a], BLOCK) for f in range(a, b, SEEK_EVERY))
+        signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
+        sizes = size[a:b]
+        info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
+        info += ((8000 << 44) | (0 << 41) | (7 << 36) | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+        done.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + coded[start[a] : start[b]])
+    return done
 
+
+def _encode_frames(x: np.ndarray, number: np.ndarray, lpc_order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frames of these rows of samples, one after another, and each one's size in bytes."""
+    n = len(x)
     order, best, residual = np.zeros(n, np.int64), None, np.zeros_like(x)
     e, cand = x, []
     for p in range(5):
@@ -196,18 +213,7 @@ def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
     out |= flat[: len(out)].astype(np.uint8)
     crc = _crcs(out, s, size - 2, 16)
     out[s + size - 2], out[s + size - 1] = (crc >> 8).astype(np.uint8), (crc & 0xFF).astype(np.uint8)
-
-    done = []
-    for d, payload in enumerate(payloads):
-        a, b = first[d], first[d + 1]
-        frames = out[start[a] : start[b]].tobytes()
-        seek = b"".join(struct.pack(">QQH", (f - a) * BLOCK, start[f] - start[a], BLOCK) for f in range(a, b, SEEK_EVERY))
-        signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
-        sizes = size[a:b]
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
-        info += ((8000 << 44) | (0 << 41) | (7 << 36) | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        done.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + frames)
-    return done
+    return out, size
 
 
 def _metadata(media: bytes) -> tuple[int, int, bytes, int]:
@@ -272,6 +278,19 @@ def decode(media: list[bytes], verify_md5: bool = True) -> list[bytes]:
     if not len(s):
         return [b"" for _ in media]
     data = np.frombuffer(b"".join(media) + bytes(16), np.uint8)
+    out = np.concatenate([_decode_frames(data[s[i] : e[min(i + CHUNK, len(s)) - 1] + 16], s[i : i + CHUNK] - s[i], e[i : i + CHUNK] - s[i]) for i in range(0, len(s), CHUNK)])
+    done, at = [], 0
+    for m, (samples, _, md5, _) in zip(media, heads, strict=True):
+        payload = out[at : at + samples // BLOCK].tobytes()
+        at += samples // BLOCK
+        if verify_md5 and hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != md5:
+            raise FlacError("the samples' MD5 is wrong")
+        done.append(payload)
+    return done
+
+
+def _decode_frames(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Payload bytes, a row a frame, of the frames from s to e. 16 bytes that do not matter follow the last."""
     if (_crcs(data, s, e - s - 2, 16) != (data[e - 2].astype(np.uint16) << 8 | data[e - 1])).any():
         raise FlacError("a frame's checksum is wrong")
     lead = data[s + 4]
@@ -292,15 +311,7 @@ def decode(media: list[bytes], verify_md5: bool = True) -> list[bytes]:
     for k in np.unique(kind[kind > 1]).tolist():
         rows = np.flatnonzero(kind == k)
         x[rows] = _predicted(wide, sub[rows] * 8 + 8, k)
-    out = (x + 128).astype(np.uint8)
-    done, at = [], 0
-    for m, (samples, _, md5, _) in zip(media, heads, strict=True):
-        payload = out[at : at + samples // BLOCK].tobytes()
-        at += samples // BLOCK
-        if verify_md5 and hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != md5:
-            raise FlacError("the samples' MD5 is wrong")
-        done.append(payload)
-    return done
+    return (x + 128).astype(np.uint8)
 
 
 def _predicted(wide: np.ndarray, bit: np.ndarray, kind: int) -> np.ndarray:
@@ -383,7 +394,7 @@ def store_flac(docs: DataFrame, lpc_order: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 raw = arrow_bytes(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(encode([padded(x) for x in raw], lpc_order), pa.binary())], schema=schema)
 
@@ -399,7 +410,7 @@ def pcm_blocks(media: DataFrame, samples_per_block: int = 65536) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "media", 4 << 20):
+            for b in slices(whole, "media", 2 << 20):
                 rows = [(d, i // samples_per_block, i, len(p[i : i + samples_per_block]), p[i : i + samples_per_block]) for d, p in zip(b.column("doc_id").to_pylist(), decode([m or b"" for m in b.column("media").to_pylist()]), strict=True) for i in range(0, len(p), samples_per_block)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -412,7 +423,7 @@ def media_digest(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "media", 4 << 20):
+            for b in slices(whole, "media", 2 << 20):
                 media = b.column("media").to_pylist()
                 cols: list[list] = [[] for _ in range(6)]
                 for m, p in zip(media, decode(media), strict=True):
