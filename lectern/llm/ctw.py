@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, MAX_WINDOWS = 5, 2_000_000
+DEPTH, MAX_WINDOWS, SLICE = 5, 1_000_000, 1 << 20
 END = b"\n"
 
 
@@ -39,15 +39,27 @@ def stream(raw: bytes) -> bytes:
 
 
 def windows(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The window (depth earlier bytes, then the byte) of each byte, packed with the byte lowest, and the row it is of. Before a text stand line feeds."""
+    """The window (depth earlier bytes, then the byte) of each byte, packed with the byte lowest, and the bounds of each stream in them.
+
+    Before a text stand line feeds. What lies between one stream's end and the next one's begin are windows of those.
+    """
     pad = END * depth
-    a = np.frombuffer(b"".join(pad + s for s in streams), np.uint8).astype(np.uint64)
+    a = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8).astype(np.uint64)
     g = np.zeros(max(0, len(a) - depth), np.uint64)
     for j in range(depth + 1):
-        g = g << np.uint64(8) | a[j : len(a) - depth + j]
-    n = np.array([len(s) for s in streams])
-    at = np.repeat(np.cumsum(n + depth) - n - depth - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    return g[at], np.repeat(np.arange(len(n)), n)
+        g <<= np.uint64(8)
+        g |= a[j : len(a) - depth + j]
+    n = np.array([len(s) for s in streams], np.int64)
+    begin = np.cumsum(n + depth) - n - depth
+    return g, np.stack([begin, begin + n], 1)
+
+
+def inside(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The windows of the streams' own bytes alone."""
+    step = np.zeros(len(g) + 1, np.int8)
+    step[bounds[:, 0]] += 1
+    step[bounds[:, 1]] -= 1
+    return g[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
 
 
 def counted(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +101,12 @@ class Tree:
     depth: int
     keys: list[list[np.ndarray]]
     ones: list[list[np.ndarray]]
+    own: Scorer | None = None
+
+    def scorer(self) -> Scorer:
+        """One for each process that holds the tree: later tasks of a worker find the windows of earlier ones."""
+        self.own = self.own or Scorer(self)
+        return self.own
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log10 probability of each window's byte after the window's context."""
@@ -171,7 +189,7 @@ def grow(grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH, short: list[
 class Scorer:
     """Log10 probabilities of windows through a direct-mapped table of those met before; misses go to the tree."""
 
-    SLOTS = 22
+    SLOTS = 21
 
     def __init__(self, tree: Tree):
         self.tree = tree
@@ -222,13 +240,15 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, got = Counter(), []
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 streams = [stream(x) for x in arrow_bytes(b.column("text"))]
                 for s in streams:
                     words.update(s.split())
                 words[END] += len(streams)
-                got.append(counted(windows(streams, depth)[0]))
-                if len(words) > 1_000_000 or sum(len(x[0]) for x in got) > 4_000_000:
+                got.append(counted(inside(*windows(streams, depth))))
+                if sum(len(x[0]) for x in got) > 2_000_000:
+                    got = [counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))]
+                if len(words) > 500_000 or len(got[0][0]) > 1_500_000:
                     yield from flush(words, got)
                     words, got = Counter(), []
         yield from flush(words, got)
@@ -284,9 +304,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         logs = np.append(np.log10(n + 0.1), 0.0)
-        scorer, row = Scorer(tree), TaskContext.get().partitionId() << 33
+        scorer, row = tree.scorer(), TaskContext.get().partitionId() << 33
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 streams = [stream(x) for x in arrow_bytes(b.column("text"))]
                 cut = [[*s.split(), END] for s in streams]
                 distinct = list({w for x in cut for w in x})
@@ -295,8 +315,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
                 found = keys[at] == hashed if len(keys) else np.zeros(len(hashed), bool)
                 code = dict(zip(distinct, range(len(distinct)), strict=True))
                 place = np.where(found, at, len(keys))
-                g, which = windows(streams, depth)
-                score = np.bincount(which, weights=scorer.log10(g), minlength=len(streams))
+                g, bounds = windows(streams, depth)
+                score = np.add.reduceat(np.append(scorer.log10(g), 0.0), bounds.ravel())[::2]
                 known, known_logs, tails = [], [], []
                 for x in cut:
                     c = np.fromiter((code[w] for w in x), np.int64, len(x))
