@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, MAX_WINDOWS, SLICE = 5, 1_000_000, 1 << 20
+DEPTH, MAX_WINDOWS, SLICE, SLOTS = 5, 1_000_000, 1 << 20, 21
 END = b"\n"
 
 
@@ -101,12 +101,25 @@ class Tree:
     depth: int
     keys: list[list[np.ndarray]]
     ones: list[list[np.ndarray]]
-    own: Scorer | None = None
-
-    def scorer(self) -> Scorer:
-        """One for each process that holds the tree: later tasks of a worker find the windows of earlier ones."""
-        self.own = self.own or Scorer(self)
-        return self.own
+    met: tuple[np.ndarray, np.ndarray] | None = None
+
+    def cached_log10(self, grams: np.ndarray) -> np.ndarray:
+        """log10() through a direct-mapped table of windows met before, which later tasks of a process find filled."""
+        if self.met is None:
+            self.met = np.full(1 << SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << SLOTS, np.float32)
+        keys, values = self.met
+        place = lambda g: (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        slot = place(grams)
+        out = values[slot].astype(np.float64)
+        miss = np.flatnonzero(keys[slot] != grams)
+        if len(miss):
+            g = grams[miss]
+            u = counted(g)[0]
+            v = self.log10(u).astype(np.float32)
+            at = place(u)
+            keys[at], values[at] = u, v
+            out[miss] = v[np.searchsorted(u, g)]
+        return out
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log10 probability of each window's byte after the window's context."""
@@ -186,30 +199,6 @@ def grow(grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH, short: list[
     return Tree(depth, keys, ones)
 
 
-class Scorer:
-    """Log10 probabilities of windows through a direct-mapped table of those met before; misses go to the tree."""
-
-    SLOTS = 21
-
-    def __init__(self, tree: Tree):
-        self.tree = tree
-        self.keys = np.full(1 << self.SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.values = np.zeros(1 << self.SLOTS, np.float32)
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        slot = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)
-        out = self.values[slot].astype(np.float64)
-        miss = np.flatnonzero(self.keys[slot] != grams)
-        if len(miss):
-            g = grams[miss]
-            u = counted(g)[0]
-            v = self.tree.log10(u).astype(np.float32)
-            at = (u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)
-            self.keys[at], self.values[at] = u, v
-            out[miss] = v[np.searchsorted(u, g)]
-        return out
-
-
 def word_key(word: bytes) -> int:
     """A word's 64-bit hash as a signed integer; counts are kept by it."""
     import xxhash
@@ -248,7 +237,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
                 got.append(counted(inside(*windows(streams, depth))))
                 if sum(len(x[0]) for x in got) > 2_000_000:
                     got = [counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))]
-                if len(words) > 500_000 or len(got[0][0]) > 1_500_000:
+                if len(words) > 300_000 or len(got[0][0]) > 1_500_000:
                     yield from flush(words, got)
                     words, got = Counter(), []
         yield from flush(words, got)
@@ -304,7 +293,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         logs = np.append(np.log10(n + 0.1), 0.0)
-        scorer, row = tree.scorer(), TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 streams = [stream(x) for x in arrow_bytes(b.column("text"))]
@@ -316,7 +305,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
                 code = dict(zip(distinct, range(len(distinct)), strict=True))
                 place = np.where(found, at, len(keys))
                 g, bounds = windows(streams, depth)
-                score = np.add.reduceat(np.append(scorer.log10(g), 0.0), bounds.ravel())[::2]
+                score = np.add.reduceat(np.append(tree.cached_log10(g), 0.0), bounds.ravel())[::2]
                 known, known_logs, tails = [], [], []
                 for x in cut:
                     c = np.fromiter((code[w] for w in x), np.int64, len(x))
@@ -334,6 +323,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
     # Written once: the row numbers, which a second run of a task could give otherwise, are fixed from here on.
     scored = stored(narrow.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, tail array<long>"), "ctw-scored")
+    shared.destroy()
     rare = words.where(F.col("n") < F.lit(max(1.0, HEAD_SHARE * total))).select(F.col("key").alias("word"), "n")
     tail = scored.select("row", F.explode("tail").alias("word")).join(rare, "word", "left")
     sums = tail.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"))
