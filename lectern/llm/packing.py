@@ -21,16 +21,14 @@ from pyspark.sql import functions as F
 from lectern.llm.common import arrow_texts, slices
 
 #: Documents of one packing group. At least MIN_GROUPS groups, so that small inputs still spread.
-DOCS_PER_GROUP, MIN_GROUPS = 8192, 32
+DOCS_PER_GROUP, MIN_GROUPS = 2048, 32
 
 
 class CapacityTree:
     """Open bins by remaining capacity. Leaf c holds the bins with c units left; an inner node tells whether any leaf below holds one."""
 
     def __init__(self, capacity: int):
-        self.size = 1 << (capacity + 1 - 1).bit_length() if capacity else 1
-        if self.size < capacity + 1:
-            self.size *= 2
+        self.size = 1 << capacity.bit_length()  # over capacity
         self.any = bytearray(2 * self.size)
         self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
 

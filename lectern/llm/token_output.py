@@ -24,9 +24,8 @@ def packed_matrices(docs: DataFrame, capacity: int = 1024, end_id: int | None =
     """A row per sequence.
 
     input_ids: capacity ids of width bytes, little endian, padded with pad_id after n_tokens.
-    cu_seqlens: 0 and the end of each segment. position_resets: the position id at each segment's
-    first token (its place in its own document's piece is counted from 0, so all are zero-based
-    starts in the row). doc_ids, pieces, starts: what each segment is, so that documents can be rebuilt.
+    cu_seqlens: 0 and the end of each segment. position_resets: the places
+    in the row where position ids begin again at 0. doc_ids, pieces, starts: what each segment is, so that documents can be rebuilt.
     Null or empty texts hold their end id; an id that does not fit width raises OverflowError; an
     empty table gives no rows; repeated rows are written as often as they come.
     """
