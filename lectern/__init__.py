@@ -1,0 +1 @@
+"""Corpus building, search and reading on Spark DataFrames."""
