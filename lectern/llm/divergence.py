@@ -32,7 +32,7 @@ class Limits:
     """Verdict: a distance above its limit fails a document that is long enough for it."""
 
     char_distance: float = 0.32
-    word_distance: float = 0.40
+    word_distance: float = 0.375
     min_chars: int = 200
     min_words: int = 60
 
