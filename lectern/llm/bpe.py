@@ -82,7 +82,7 @@ class Codec:
             data = np.frombuffer(b"".join(raw[i] for i in group), np.uint8)
             place = np.arange(len(data)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             self.db.register("tok", pa.table({"word": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": place.astype(np.int32), "token": self.byte_ids[data]}))
-            got = self.db.execute(DECODE.format(t=f"({LAST})")).to_arrow_table() if n.max(initial=0) <= LONG_WORD else self.one_by_one(n, data)
+            got = self.db.sql(DECODE.format(t=f"({LAST})")).to_arrow_table() if n.max(initial=0) <= LONG_WORD else self.one_by_one(n, data)
             for i, ids, hexed in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), got.column("hexed").to_pylist(), strict=True):
                 pair = (np.array(ids, "<u4").tobytes(), bytes.fromhex(hexed))
                 self.held += len(pair[0]) + len(pair[1])
@@ -101,7 +101,7 @@ class Codec:
             if not low:
                 break
             self.db.execute("DELETE FROM state USING low WHERE state.word = low.word AND state.place = low.best.x; UPDATE state SET token = low.best.r FROM low WHERE state.word = low.word AND state.place = low.best.p")
-        return self.db.execute(DECODE.format(t="state")).to_arrow_table()
+        return self.db.sql(DECODE.format(t="state")).to_arrow_table()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text."""

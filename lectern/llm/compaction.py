@@ -171,6 +171,8 @@ def compacted(docs: DataFrame, target: int = 32 * MB, fanout: int = 4, rows_per_
     store.append(docs, rows_per_shard)
     version = store.compact(target, fanout)
     store.expire()
+    if not store.manifest(version)[1]:
+        return spark.createDataFrame([], "doc_id long, version long, shard int, tier int, text_crc32 long, n_bytes long")
     rows = store.read(version).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"),
         F.crc32(F.col("text").cast("string")).alias("text_crc32"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))

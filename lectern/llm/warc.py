@@ -108,6 +108,8 @@ def derive(record: bytes) -> tuple[bytes, bytes]:
     uri, source = headers.get("WARC-Target-URI", ""), headers.get("WARC-Record-ID", "")
     if (told := headers.get("WARC-Payload-Digest")) and told != digest(page):
         raise WarcError("the payload does not have the digest stated")
+    if headers.get("WARC-Block-Digest", digest(block)) != digest(block):
+        raise WarcError("the block does not have the digest stated")
     text = page.decode("utf-8", "replace")
     title = TITLE.search(text)
     fields = [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("source-status", http.split(b"\r\n", 1)[0].decode("latin-1"))]
