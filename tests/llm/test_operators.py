@@ -510,3 +510,15 @@ def test_queries_have_the_contracts_columns(spark):
     for name, f in queries.queries().items():
         if (cols := want.get(name.split("_")[0])) is not None:
             assert f(spark, SF).columns[: len(cols.split())] == cols.split(), name
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_duckdb(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert multiset(queries.queries()[name](spark, SF).select(names).collect()) == multiset(want.fetchall())
