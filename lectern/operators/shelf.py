@@ -20,7 +20,9 @@ def edition_counts(editions: DataFrame, segments: DataFrame) -> DataFrame:
 
 def corpus_stats(works: DataFrame, editions: DataFrame, segments: DataFrame) -> DataFrame:
     """One row: works, indexed editions, segments."""
-    return works.agg(F.count("*").alias("works")).join(editions.agg(F.count("indexed_at").alias("editions"))).join(segments.agg(F.count("*").alias("segments")))
+    named = {"works": works, "editions": editions.where(F.col("indexed_at").isNotNull()), "segments": segments}
+    counts = [df.agg(F.count("*").alias("n")).withColumn("t", F.lit(k)) for k, df in named.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).agg(*[F.max(F.when(F.col("t") == k, F.col("n"))).alias(k) for k in named])
 
 
 def genre_set(works: DataFrame) -> DataFrame:

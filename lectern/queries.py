@@ -262,16 +262,17 @@ def import_dedupe(spark, sf_dir):
     return catalog.new_works(existing, rows).select("title_zh", "title_en")
 
 
-@query("SELECT count(DISTINCT source) FILTER (WHERE doc_id < 5) AS first_import, 0 AS second_import, count(DISTINCT source) - count(DISTINCT source) FILTER (WHERE doc_id < 5) AS after_append FROM documents", views=False)
+@query("SELECT count(DISTINCT source) FILTER (WHERE doc_id < 5) AS first_import, CAST(0 AS BIGINT) AS second_import, count(DISTINCT source) - count(DISTINCT source) FILTER (WHERE doc_id < 5) AS after_append FROM documents", views=False)
 def bootstrap_delta(spark, sf_dir):
     """How many works an import adds: at first, again, and after rows have been added."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     none = F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").alias("row"), F.col("source").alias("title_zh"), *[none.alias(c) for c in ("title_ja", "title_en", "year", "genres", "keywords", "status", "notes")])
     few = rows.where("row < 5")
-    count = lambda have, new, name: catalog.new_works(have, new).agg(F.count("*").alias(name))
-    again = catalog.new_works(few.select("title_zh"), few).agg(F.count("*").cast("int").alias("second_import"))
-    return count(few.where("false").select("title_zh"), few, "first_import").join(again).join(count(few.select("title_zh"), rows, "after_append"))
+    runs = {"first_import": (few.where("false"), few), "second_import": (few, few), "after_append": (few, rows)}
+    counts = [catalog.new_works(have.select("title_zh"), new).agg(F.count("*").alias("n")).withColumn("run", F.lit(k)) for k, (have, new) in runs.items()]
+    whole = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return whole.agg(*[F.max(F.when(F.col("run") == k, F.col("n"))).alias(k) for k in runs])
 
 
 @query("SELECT edition_id, count(*) AS segments FROM segments WHERE edition_id % 10 <> 0 GROUP BY edition_id")
