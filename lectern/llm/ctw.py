@@ -7,16 +7,19 @@ weighted probability is half its own estimate, half the product of its deeper co
 weights of stopping at each depth mix the estimates along the path. A context that training
 never saw falls back on its longest seen suffix.
 
-Counting is distributed: each task sorts its windows of DEPTH + 1 bytes and sends distinct ones with their
-counts, so the shuffle grows with the input's distinct windows. The tree goes to the workers in one broadcast of
-at most MAX_WINDOWS windows: beyond that, windows rarer than a power of two are shortened by their oldest byte
-(their counts stay in the shallower contexts), until it fits.
+Nothing is cut off, at any size: every window of the corpus is counted and every one gets its exact probability.
+1. Each task sorts its windows of DEPTH + 1 bytes and sends distinct ones with their counts: what is gathered grows with the corpus.
+2. The tree is grown where its windows are. Windows with the same last TOP context bytes are a block; the nodes of depth TOP
+   and deeper are in one block each, and blocks are dealt by a hash. Above, Spark adds up children; at most 65,280 nodes of
+   depth 1 reach the driver, and as many go back, whatever the corpus.
+3. A second pass over the blocks gives each distinct window its log-probability.
+4. Texts are scored where they are read. Windows with at least WINDOW_SHARE of all are looked up in a broadcast of at most
+   1 / WINDOW_SHARE entries of 12 bytes; the others, once a text with their count, are joined. Both give the same numbers.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, MAX_WINDOWS, SLICE, SLOTS = 5, 1_000_000, 1 << 20, 21
+DEPTH, TOP, SLICE, RUN, SLOTS = 5, 2, 1 << 20, 400_000, 21
 END = b"\n"
 
 
@@ -94,6 +97,63 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
+Levels = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+NONE = np.zeros(0, np.uint64)
+
+
+def edges(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weighted log-probability, estimate of a one and posterior weight of stopping of nodes; deeper: the log-probability of their children's product."""
+    own = log_kt(zeros.astype(np.float64), ones.astype(np.float64))
+    kt = (ones + 0.5) / (zeros + ones + 1.0)
+    if deeper is None:
+        return own, kt, np.ones(len(own))
+    weighted = np.logaddexp(own, deeper) - math.log(2)
+    return weighted, kt, np.exp(own - math.log(2) - weighted)
+
+
+def climb(grams: np.ndarray, counts: np.ndarray, bit: int, depth: int, top: int) -> tuple[Levels, tuple[np.ndarray, ...]]:
+    """Nodes of one bit from depth top down to depth, (key, estimate, stop) each, and (key, weighted, zeros, ones) at top. A node's key is its context, then the decisions in the lowest byte."""
+    levels: Levels = []
+    below: tuple[np.ndarray, ...] | None = None
+    for d in range(depth, top - 1, -1):
+        if below is None:
+            g, c = counted(grams, counts)
+            byte = (g & np.uint64(0xFF)).astype(np.int64)
+            key = (g >> np.uint64(8)) << np.uint64(8) | ((1 << bit) | (byte >> (8 - bit))).astype(np.uint64)
+            e = edges(key)  # sorted, as the windows are
+            ones = np.add.reduceat(c * ((byte >> (7 - bit)) & 1), e) if len(e) else c
+            zeros, deeper = (np.add.reduceat(c, e) - ones if len(e) else c), None
+            key = key[e]
+        else:
+            up = below[0] & np.uint64((1 << 8 * (d + 1)) - 1)
+            order = np.argsort(up, kind="stable")
+            e = edges(up[order])
+            deeper, zeros, ones = (np.add.reduceat(x[order], e) if len(e) else x for x in below[1:])
+            key = up[order][e]
+        weighted, kt, stop = weigh(zeros, ones, deeper)
+        levels.insert(0, (key, kt, stop))
+        below = (key, weighted, zeros, ones)
+    return levels, below
+
+
+def descend(levels: Levels, top: int, past: tuple[np.ndarray, ...] | None) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+    """The mixed probability of a one at each node of levels, which begin at depth top; past: (key, weight left, mixture so far) one depth above. Also that of the last level."""
+    mixed = []
+    for d, (key, kt, stop) in enumerate(levels, top):
+        go, got = np.ones(len(key)), np.zeros(len(key))
+        if past is not None:
+            at = np.searchsorted(past[0], key & np.uint64((1 << 8 * d) - 1))  # the parent's key: the oldest byte off
+            go, got = past[1][at], past[2][at]
+        mixed.append((got + go * kt).astype(np.float32).clip(1e-6, 1 - 1e-6))
+        past = (key, go * (1 - stop), got + go * stop * kt)
+    return mixed, past
+
+
 @dataclass
 class Tree:
     """For each depth and bit: sorted node keys (context, decisions) and the mixed probability of a one there."""
@@ -101,28 +161,9 @@ class Tree:
     depth: int
     keys: list[list[np.ndarray]]
     ones: list[list[np.ndarray]]
-    met: tuple[np.ndarray, np.ndarray] | None = None
-
-    def cached_log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10() through a direct-mapped table of windows met before, which later tasks of a process find filled."""
-        if self.met is None:
-            self.met = np.full(1 << SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << SLOTS, np.float32)
-        keys, values = self.met
-        place = lambda g: (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
-        slot = place(grams)
-        out = values[slot].astype(np.float64)
-        miss = np.flatnonzero(keys[slot] != grams)
-        if len(miss):
-            g = grams[miss]
-            u = counted(g)[0]
-            v = self.log10(u).astype(np.float32)
-            at = place(u)
-            keys[at], values[at] = u, v
-            out[miss] = v[np.searchsorted(u, g)]
-        return out
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
-        """Log10 probability of each window's byte after the window's context."""
+        """Log10 probability of each window's byte after the window's context: by the longest context there is of it."""
         out = np.zeros(len(grams))
         byte = (grams & np.uint64(0xFF)).astype(np.int64)
         for k in range(8):
@@ -144,61 +185,54 @@ class Tree:
         return out
 
 
-def grow(grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH, short: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Tree:
-    """The tree of these windows. short: windows cut to fewer bytes than depth + 1, by depth, whose counts join there."""
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(grams, counts)]
-    for d in range(depth - 1, -1, -1):
-        g, c = levels[0]
-        g = g & np.uint64((1 << 8 * (d + 1)) - 1)
-        if short and len(short[d][0]):
-            g, c = np.concatenate([g, short[d][0]]), np.concatenate([c, short[d][1]])
-        levels.insert(0, counted(g, c))
-    keys: list[list[np.ndarray]] = [[] for _ in levels]
-    ones: list[list[np.ndarray]] = [[] for _ in levels]
+def grow(grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> Tree:
+    """The whole tree of these windows, in one place."""
+    keys: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
+    ones: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
     for k in range(8):
-        nodes, below = [], None
-        for d in range(depth, -1, -1):
-            g, c = levels[d]
-            byte = (g & np.uint64(0xFF)).astype(np.int64)
-            key = (g >> np.uint64(8)) << np.uint64(8) | ((1 << k) | (byte >> (8 - k))).astype(np.uint64)
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            key = key[edge]
-            n = np.add.reduceat(c, edge) if len(edge) else np.zeros(0, np.int64)
-            n1 = np.add.reduceat(c * ((byte >> (7 - k)) & 1), edge) if len(edge) else n
-            own = log_kt((n - n1).astype(np.float64), n1.astype(np.float64))
-            stop = np.ones(len(key))
-            weighted = own
-            if below is not None and len(below[0]):
-                parent = below[0] & np.uint64((1 << 8 * (d + 1)) - 1)
-                order = np.argsort(parent, kind="stable")
-                p = parent[order]
-                e = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                at = np.searchsorted(key, p[e])
-                deeper = np.full(len(key), -np.inf)
-                deeper[at] = np.add.reduceat(below[1][order], e)
-                held = np.zeros((2, len(key)), np.int64)  # what shortened windows left to no deeper context is an estimate of its own
-                held[0, at], held[1, at] = np.add.reduceat(below[2][order], e), np.add.reduceat(below[3][order], e)
-                rest = log_kt((n - n1 - held[0]).astype(np.float64), (n1 - held[1]).astype(np.float64))
-                deeper = deeper + np.where(n > held.sum(0), rest, 0.0)
-                inner = np.isfinite(deeper)
-                weighted = np.where(inner, np.logaddexp(own, np.where(inner, deeper, 0.0)) - math.log(2), own)
-                stop = np.where(inner, np.exp(own - math.log(2) - weighted), 1.0)
-            nodes.insert(0, (key, (n1 + 0.5) / (n + 1.0), stop))
-            below = (key, weighted, n - n1, n1)
-        past, mixed = None, None
-        for d in range(depth + 1):
-            key, kt, stop = nodes[d]
-            go, got = np.ones(len(key)), np.zeros(len(key))
-            if d:
-                up = key & np.uint64((1 << 8 * d) - 1)  # the parent's key: the oldest byte off
-                at = np.searchsorted(past[0], up)
-                go, got = past[1][at], past[2][at]
+        levels, _ = climb(grams, counts, k, depth, 0)
+        for d, ((key, _, _), p) in enumerate(zip(levels, descend(levels, 0, None)[0], strict=True)):
             keys[d].append(key)
-            ones[d].append((got + go * kt).astype(np.float32).clip(1e-6, 1 - 1e-6))
-            past = (key, go * (1 - stop), got + go * stop * kt)
+            ones[d].append(p)
     return Tree(depth, keys, ones)
 
 
+@dataclass
+class Crown:
+    """The tree's nodes above depth TOP, by depth and bit, and for each bit what descend() needs of the lowest of them."""
+
+    keys: list[list[np.ndarray]]
+    ones: list[list[np.ndarray]]
+    past: list[tuple[np.ndarray, ...]]
+
+
+@dataclass
+class Lookup:
+    """Sorted windows with their values, behind a direct-mapped table of some of them that is filled once a process."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def get(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each window, 0 where there is none, and the places of those."""
+        if not len(self.keys):
+            return np.zeros(len(grams)), np.arange(len(grams))
+        place = lambda g: (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        if self.table is None:
+            self.table = np.full(1 << SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << SLOTS, np.float32)
+            at = place(self.keys)
+            self.table[0][at] = self.keys
+            self.table[1][at] = self.values[np.searchsorted(self.keys, self.table[0][at])]
+        slot = place(grams)
+        out = self.table[1][slot].astype(np.float64)
+        miss = np.flatnonzero(self.table[0][slot] != grams)
+        at = np.minimum(np.searchsorted(self.keys, grams[miss]), len(self.keys) - 1)
+        found = self.keys[at] == grams[miss]
+        out[miss] = np.where(found, self.values[at], 0.0)
+        return out, miss[~found]
+
+
 def word_key(word: bytes) -> int:
     """A word's 64-bit hash as a signed integer; counts are kept by it."""
     import xxhash
@@ -207,92 +241,195 @@ def word_key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.int64())])
 WORD, WINDOW = 0, 1
-#: A word with at least this share of all tokens is looked up in the broadcast, which so has at most 1 / HEAD_SHARE words of 12 bytes.
-HEAD_SHARE = 5e-7
+#: A word or window with at least this share of all is looked up in the broadcast, which so has at most 1 / share entries of it.
+HEAD_SHARE, WINDOW_SHARE = 5e-7, 1e-7
 
 
 def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10) -> DataFrame:
-    """kind, key, n: tokens (by hash; an end a document) and windows of all training documents, added up over the corpus."""
+    """kind, key, n, a: tokens (by hash; an end a document) and windows, with how often training documents and all documents have them."""
 
-    def flush(words: Counter, got: list) -> Iterator[pa.RecordBatch]:
+    def flush(held: bool, words: Counter, got: list) -> Iterator[pa.RecordBatch]:
         parts = [(WORD, np.array([word_key(w) for w in words], np.int64), np.array(list(words.values()), np.int64))]
         if got:
             g, n = counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
             parts.append((WINDOW, g.view(np.int64), n))
         for kind, keys, n in parts:
             for i in range(0, len(keys), 1 << 18):
-                k = keys[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[i : i + (1 << 18)])], schema=COUNTS)
+                k, c = keys[i : i + (1 << 18)], n[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(c * (not held)), pa.array(c)], schema=COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, got = Counter(), []
+        words, got = [Counter(), Counter()], [[], []]
         for whole in batches:
             for b in slices(whole, "text", SLICE):
-                streams = [stream(x) for x in arrow_bytes(b.column("text"))]
-                for s in streams:
-                    words.update(s.split())
-                words[END] += len(streams)
-                got.append(counted(inside(*windows(streams, depth))))
-                if sum(len(x[0]) for x in got) > 2_000_000:
-                    got = [counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))]
-                if len(words) > 300_000 or len(got[0][0]) > 1_500_000:
-                    yield from flush(words, got)
-                    words, got = Counter(), []
-        yield from flush(words, got)
-
-    train = docs.where(crc_fold("doc_id", folds) != held_fold).select(F.col("text").cast("string").alias("text"))
-    return train.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _pairs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select("key", "n").toArrow()
-    k, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
+                raw, fold = arrow_bytes(b.column("text")), b.column("held_out").to_pylist()
+                for h in (0, 1):
+                    streams = [stream(x) for x, f in zip(raw, fold, strict=True) if f == bool(h)]
+                    if not streams:
+                        continue
+                    for s in streams:
+                        words[h].update(s.split())
+                    words[h][END] += len(streams)
+                    got[h].append(counted(inside(*windows(streams, depth))))
+                    if sum(len(x[0]) for x in got[h]) > 2_000_000:
+                        got[h] = [counted(np.concatenate([x[0] for x in got[h]]), np.concatenate([x[1] for x in got[h]]))]
+                    if len(words[h]) > 300_000 or len(got[h][0][0]) > 1_500_000:
+                        yield from flush(bool(h), words[h], got[h])
+                        words[h], got[h] = Counter(), []
+        for h in (0, 1):
+            yield from flush(bool(h), words[h], got[h])
+
+    rows = docs.select((crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "kind byte, key long, n long, a long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+
+
+def in_blocks(grams: DataFrame, columns: list[str]) -> DataFrame:
+    """The windows (key), those with the same last TOP context bytes together, and sorted so that they follow each other."""
+    block = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+    return grams.select(block.alias("block"), "key", *columns).repartition("block").sortWithinPartitions("block")
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = RUN) -> Iterator[list[np.ndarray]]:
+    """The columns of whole blocks, about most rows at a time or one block."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        held.append([b.column(c).to_numpy() for c in ("block", *columns)])
+        rows += b.num_rows
+        if rows < most:
+            continue
+        all_of = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(edges(all_of[0])[-1])
+        if cut:
+            yield [x[:cut] for x in all_of[1:]]
+        held, rows = [[x[cut:] for x in all_of]], len(all_of[0]) - cut
+        if not cut:
+            most = max(most, 2 * rows)  # a large block: not joined up again for every batch
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)][1:]
+
+
+NODES = pa.schema([("bit", pa.int8()), ("key", pa.int64()), ("weighted", pa.float64()), ("zeros", pa.int64()), ("ones", pa.int64())])
+
+
+def grow_crown(grams: DataFrame, depth: int = DEPTH) -> Crown:
+    """The nodes above the blocks. grams: key, n of all training windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in runs(batches, ["key", "n"]):
+            for k in range(8):
+                at, weighted, zeros, ones = climb(key.view(np.uint64), n, k, depth, TOP)[1]
+                for i in range(0, len(at), 1 << 18):
+                    part = slice(i, i + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[part]), k, np.int8)), pa.array(at[part].view(np.int64)), pa.array(weighted[part]), pa.array(zeros[part]), pa.array(ones[part])], schema=NODES)
+
+    nodes = in_blocks(grams.where("n > 0"), ["n"]).mapInArrow(run, "bit byte, key long, weighted double, zeros long, ones long")
+    # Decimals add up alike in any order. A context byte and the decisions before the bit: 65,280 nodes at most.
+    up = F.col("key").bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("key")
+    t = nodes.groupBy("bit", up).agg(F.sum(F.col("weighted").cast("decimal(28,6)")).cast("double").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    bit, key, deeper, zeros, ones = (t.column(c).to_numpy() for c in ("bit", "key", "weighted", "zeros", "ones"))
+    out = Crown([[] for _ in range(TOP)], [[] for _ in range(TOP)], [])
+    for k in range(8):
+        here = np.flatnonzero(bit == k)
+        here = here[np.argsort(key[here])]
+        below = (key[here].view(np.uint64), deeper[here], zeros[here], ones[here])
+        levels: Levels = []
+        for d in range(TOP - 1, -1, -1):
+            up_keys = below[0] & np.uint64((1 << 8 * (d + 1)) - 1)
+            order = np.argsort(up_keys, kind="stable")
+            e = edges(up_keys[order])
+            summed = [np.add.reduceat(x[order], e) if len(e) else x for x in below[1:]]
+            weighted, kt, stop = weigh(summed[1], summed[2], summed[0])
+            levels.insert(0, (up_keys[order][e], kt, stop))
+            below = (up_keys[order][e], weighted, summed[1], summed[2])
+        mixed, past = descend(levels, 0, None)
+        for d in range(TOP):
+            out.keys[d].append(levels[d][0])
+            out.ones[d].append(mixed[d])
+        out.past.append(past)
+    return out
+
+
+def window_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """key, a and v of all windows (key, n, a): v is the log10 probability of the window's byte; n is 0 for windows training does not have."""
+    shared = grams.sparkSession.sparkContext.broadcast(grow_crown(grams, depth))
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("v", pa.float32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crown = shared.value
+        for key, n, a in runs(batches, ["key", "n", "a"]):
+            g, seen = key.view(np.uint64), n > 0
+            keys, ones = [list(x) for x in crown.keys], [list(x) for x in crown.ones]
+            keys += [[] for _ in range(TOP, depth + 1)]
+            ones += [[] for _ in range(TOP, depth + 1)]
+            for k in range(8):
+                levels, _ = climb(g[seen], n[seen], k, depth, TOP)
+                for d, (level, p) in enumerate(zip(levels, descend(levels, TOP, crown.past[k])[0], strict=True), TOP):
+                    keys[d].append(level[0])
+                    ones[d].append(p)
+            v = Tree(depth, keys, ones).log10(g).astype(np.float32)
+            for i in range(0, len(g), 1 << 18):
+                part = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(a[part]), pa.array(v[part])], schema=schema)
+
+    return in_blocks(grams, ["n", "a"]).mapInArrow(run, "key long, a long, v float")
+
+
+def _sorted_pairs(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    t = df.select("key", value).toArrow()
+    k, v = t.column("key").to_numpy(), t.column(value).to_numpy()
     order = np.argsort(k)
-    return k[order], n[order]
-
-
-def learn_tree(counts: DataFrame, depth: int = DEPTH, most: int = MAX_WINDOWS) -> Tree:
-    """The tree of the counted windows, of at most `most` windows: rarer ones than a power of two are shortened, byte by byte, with their counts."""
-    grams = counts.where(F.col("kind") == WINDOW).select("key", "n")
-    steps = [1 << i for i in range(45)]
-    sizes = grams.agg(*[F.coalesce(F.sum((F.col("n") >= m).cast("long")), F.lit(0)) for m in steps]).first()
-    least = next((m for m, size in zip(steps, sizes, strict=True) if size <= most), steps[-1])
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    short = [none] * depth
-    kept = _pairs(grams.where(F.col("n") >= least))
-    rest = grams.where(F.col("n") < least)
-    for d in range(depth - 1, -1, -1) if least > 1 else ():
-        mask = (1 << 8 * (d + 1)) - 1
-        rest = stored(rest.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), "ctw-short")
-        short[d] = _pairs(rest.where(F.col("n") >= (least if d else 1)))
-        rest = rest.where(F.col("n") < least)
-    return grow(*kept, depth, short)
-
-
-def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10) -> DataFrame:
+    return k[order], v[order]
+
+
+TAIL = pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def tails(rows: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Array:
+    """A list for each of rows texts of what was not looked up, each once with its count. parts: kind, and the text and key of each occurrence."""
+    doc, kind, key, n = [], [], [], []
+    for which, at, keys in parts:
+        order = np.lexsort((keys, at))
+        d, k = at[order], keys[order]
+        e = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])) if len(d) else np.zeros(0, np.int64)
+        doc.append(d[e])
+        kind.append(np.full(len(e), which, np.int8))
+        key.append(k[e])
+        n.append(np.diff(np.append(e, len(d))))
+    doc, kind, key, n = (np.concatenate(x) for x in (doc, kind, key, n))
+    order = np.argsort(doc, kind="stable")
+    ends = np.searchsorted(doc[order], np.arange(rows + 1)).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array(kind[order], pa.int8()), pa.array(key[order], pa.int64()), pa.array(n[order], pa.int64())], fields=list(TAIL))
+    return pa.ListArray.from_arrays(pa.array(ends), inner)
+
+
+def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10, word_share: float = HEAD_SHARE, window_share: float = WINDOW_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
     Null and empty texts are one end token. With no training document every count is 0: base_score is that
     of the smoothing alone and every bit has probability 1/2. Repeated rows are scored each; other columns are ignored.
+    The shares decide what is looked up and what is joined, not the result. depth is 2 or more.
     """
+    if not TOP <= depth <= 7:
+        raise ValueError("depth is 2 to 7")
     spark = docs.sparkSession
     counts = stored(corpus_counts(docs, depth, held_fold, folds), "ctw-counts")
-    words = counts.where(F.col("kind") == WORD)
-    total, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    head_keys, head_n = _pairs(words.where(F.col("n") >= F.lit(max(1.0, HEAD_SHARE * total))))
-    tree = learn_tree(counts, depth)
-    shared = spark.sparkContext.broadcast((tree, head_keys.view(np.int64), head_n))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(pa.int64()))])
+    words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == WINDOW)
+    total, everywhere, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.sum("a"), F.sum((F.col("n") > 0).cast("long"))).first())
+    values = stored(window_scores(grams.select("key", "n", "a"), depth), "ctw-windows")
+    all_windows = values.agg(F.sum("a")).first()[0] or 0
+    word_keys, word_n = _sorted_pairs(words.where(F.col("a") >= F.lit(max(1.0, word_share * everywhere))), "n")
+    gram_keys, gram_v = _sorted_pairs(values.where(F.col("a") >= F.lit(max(1.0, window_share * all_windows))), "v")
+    shared = spark.sparkContext.broadcast((Lookup(gram_keys.view(np.uint64), gram_v), word_keys, word_n))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("sums", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(TAIL))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, keys, n = shared.value
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        logs = np.append(np.log10(n + 0.1), 0.0)
+        lookup, keys, n = shared.value
+        logs, seen = np.append(np.log10(n + 0.1), 0.0), np.append(n > 0, False)
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -304,32 +441,34 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
                 found = keys[at] == hashed if len(keys) else np.zeros(len(hashed), bool)
                 code = dict(zip(distinct, range(len(distinct)), strict=True))
                 place = np.where(found, at, len(keys))
+                lengths = np.array([len(x) for x in cut], np.int64)
+                c = np.fromiter((code[w] for x in cut for w in x), np.int64, int(lengths.sum()))
+                p, begin = place[c], np.cumsum(lengths) - lengths  # a text has a token at least
+                rare = np.flatnonzero(p == len(keys))
                 g, bounds = windows(streams, depth)
-                score = np.add.reduceat(np.append(tree.cached_log10(g), 0.0), bounds.ravel())[::2]
-                known, known_logs, tails = [], [], []
-                for x in cut:
-                    c = np.fromiter((code[w] for w in x), np.int64, len(x))
-                    p = place[c]
-                    hit = p < len(keys)
-                    known.append(int(hit.sum()))
-                    known_logs.append(float(logs[p].sum()))
-                    tails.append(hashed[c[~hit]])
+                value, missed = lookup.get(g)
+                doc = np.searchsorted(bounds[:, 0], missed, "right") - 1
+                own = (doc >= 0) & (missed < bounds[doc, 1])
+                missed, doc = missed[own], doc[own]
+                tail = tails(len(cut), [(WORD, np.searchsorted(begin, rare, "right") - 1, hashed[c[rare]]), (WINDOW, doc, g[missed].view(np.int64))])
+                sums = np.add.reduceat(np.append(value, 0.0), bounds.ravel())[::2]
                 ids = np.arange(row, row + len(cut))
                 row += len(cut)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in tails])]).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("doc_id"), b.column("held_out"), pa.array([len(x) for x in cut], pa.int64()), pa.array(known, pa.int64()), pa.array(known_logs, pa.float64()), pa.array(score), pa.array([len(s) for s in streams], pa.int64()), tail], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("doc_id"), b.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(seen[p].astype(np.int64), begin)), pa.array(np.add.reduceat(logs[p], begin)), pa.array(sums), pa.array([len(s) for s in streams], pa.int64()), tail], schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
     # Written once: the row numbers, which a second run of a task could give otherwise, are fixed from here on.
-    scored = stored(narrow.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, tail array<long>"), "ctw-scored")
+    scored = stored(narrow.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, sums double, n_bytes long, tail array<struct<kind:tinyint,key:bigint,n:bigint>>"), "ctw-scored")
     shared.destroy()
-    rare = words.where(F.col("n") < F.lit(max(1.0, HEAD_SHARE * total))).select(F.col("key").alias("word"), "n")
-    tail = scored.select("row", F.explode("tail").alias("word")).join(rare, "word", "left")
-    sums = tail.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_logs"))
-    whole = scored.drop("tail").join(sums, "row", "left")
-    smooth = math.log10(total + 0.1 * (vocabulary + 1))
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), "score", (-F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
+    of_words = words.select("kind", "key", F.log10(F.col("n") + 0.1).alias("v"), (F.col("n") > 0).alias("met"))
+    of_grams = values.select(F.lit(WINDOW).cast("byte").alias("kind"), "key", F.col("v").cast("double").alias("v"), F.lit(False).alias("met"))
+    tail = scored.select("row", F.inline("tail")).withColumnRenamed("n", "times").join(of_words.unionByName(of_grams), ["kind", "key"])
+    part = lambda c, kind: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
+    sums = tail.groupBy("row").agg(part(F.when(F.col("met"), F.col("times")).otherwise(0), WORD).alias("more"), part(F.col("times") * F.col("v"), WORD).alias("more_logs"), part(F.col("times") * F.col("v"), WINDOW).alias("more_sums"))
+    joined = scored.drop("tail").join(sums, "row", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    smooth, score = math.log10(total + 0.1 * (vocabulary + 1)), plus("sums", "more_sums")
+    return joined.select(
+        "doc_id", "held_out", "n_tokens", plus("known", "more").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (plus("logs", "more_logs") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), score.alias("score"), (-score / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -478,7 +479,7 @@ def test_context_tree_by_definition():
         g = ctw.inside(*ctw.windows([s], 3))
         padded = ctw.END * 3 + s
         want = [slow(padded[i : i + 3], padded[i + 3]) for i in range(len(s))]
-        assert np.allclose(tree.log10(g), want, atol=1e-4) and np.allclose(tree.cached_log10(g), want, atol=1e-4)
+        assert np.allclose(tree.log10(g), want, atol=1e-4)
     ctx = np.uint64(int.from_bytes(b"bra", "big"))
     assert sum(10 ** tree.log10(ctx << np.uint64(8) | np.arange(256, dtype=np.uint64))) == pytest.approx(1, abs=1e-3)
 
@@ -501,8 +502,28 @@ def test_scores(spark, hard):
         assert (x.held_out, x.n_known, x.train_tokens) == (held[r], sum(c[w] > 0 for w in tokens[r]), n)
         assert x.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[r]), rel=1e-6)
         assert x.score < 0
-    small = ctw.learn_tree(ctw.corpus_counts(docs), most=2000)
-    assert sum(len(k) for d in small.keys for k in d) < 60_000
+    # The distributed tree is the one tree of all training windows, whatever is looked up and whatever is joined.
+    text = {r: ctw.stream((r.text or "").encode()) for r in rows}
+    tree = ctw.grow(*ctw.counted(ctw.inside(*ctw.windows([text[r] for r in rows if not held[r]]))))
+    for shares in ({}, {"word_share": 1e-4, "window_share": 1e-5}, {"word_share": 2.0, "window_share": 2.0}):
+        again = defaultdict(list)
+        for r in ctw.scores(docs, **shares).collect():
+            again[r.doc_id, r.n_tokens].append(r)
+        for r in rows:
+            x = again[r.doc_id, len(tokens[r])].pop()
+            assert x.score == pytest.approx(tree.log10(ctw.inside(*ctw.windows([text[r]]))).sum(), rel=1e-4)
+            assert x.bits_per_byte == pytest.approx(-x.score / math.log10(2) / len(text[r]))
+            assert x.n_known == sum(c[w] > 0 for w in tokens[r])
+            assert x.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[r]), rel=1e-6)
+
+
+def test_blocks_come_whole():
+    block = np.sort(np.random.default_rng(0).integers(0, 40, 5000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(block[i : i + 97]), pa.array(np.arange(i, min(i + 97, 5000)))], names=["block", "key"]) for i in range(0, 5000, 97)]
+    for most in (1, 300, 10_000):
+        got = [k for (k,) in ctw.runs(iter(batches), ["key"], most)]
+        assert np.concatenate(got).tolist() == list(range(5000))
+        assert all(block[a[-1]] != block[b[0]] for a, b in zip(got, got[1:]))
 
 
 def test_queries_have_the_contracts_columns(spark):
