@@ -20,18 +20,19 @@ Nothing is cut off, at any size: every window of the corpus is counted and every
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, TOP, SLICE, RUN, SLOTS = 5, 2, 1 << 20, 400_000, 21
+DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 5, 2, 1 << 20, 400_000, 21, 300_000
 END = b"\n"
 
 
@@ -235,12 +236,30 @@ class Lookup:
 
 def word_key(word: bytes) -> int:
     """A word's 64-bit hash as a signed integer; counts are kept by it."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(word, 7)
     return h - (1 << 64) if h >> 63 else h
 
 
+class Codes(dict):
+    """Words to numbers, in the order they are first met; hashes() of all of them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashed = np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+    def of(self, texts: list[list[bytes]], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, n)
+
+    def hashes(self) -> np.ndarray:
+        new = islice(self, len(self.hashed), None)
+        self.hashed = np.concatenate([self.hashed, np.fromiter(map(word_key, new), np.int64)])
+        return self.hashed
+
+
 COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("a", pa.int64())])
 WORD, WINDOW = 0, 1
 #: A word or window with at least this share of all is looked up in the broadcast, which so has at most 1 / share entries of it.
@@ -250,8 +269,8 @@ HEAD_SHARE, WINDOW_SHARE = 5e-7, 1e-7
 def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10) -> DataFrame:
     """kind, key, n, a: tokens (by hash; an end a document) and windows, with how often training documents and all documents have them."""
 
-    def flush(held: bool, words: Counter, got: list) -> Iterator[pa.RecordBatch]:
-        parts = [(WORD, np.array([word_key(w) for w in words], np.int64), np.array(list(words.values()), np.int64))]
+    def flush(held: bool, words: Codes, times: np.ndarray, got: list) -> Iterator[pa.RecordBatch]:
+        parts = [(WORD, words.hashes(), times)]
         if got:
             g, n = counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
             parts.append((WINDOW, g.view(np.int64), n))
@@ -261,7 +280,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(c * (not held)), pa.array(c)], schema=COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, got = [Counter(), Counter()], [[], []]
+        words, times, got = [Codes(), Codes()], [np.zeros(0, np.int64)] * 2, [[], []]
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 raw, fold = arrow_bytes(b.column("text")), b.column("held_out").to_pylist()
@@ -269,17 +288,19 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
                     streams = [stream(x) for x, f in zip(raw, fold, strict=True) if f == bool(h)]
                     if not streams:
                         continue
-                    for s in streams:
-                        words[h].update(s.split())
-                    words[h][END] += len(streams)
+                    cut = [[*s.split(), END] for s in streams]
+                    code = words[h].of(cut, sum(map(len, cut)))
+                    more = np.bincount(code, minlength=len(words[h]))
+                    more[: len(times[h])] += times[h]
+                    times[h] = more
                     got[h].append(counted(inside(*windows(streams, depth))))
                     if sum(len(x[0]) for x in got[h]) > 2_000_000:
                         got[h] = [counted(np.concatenate([x[0] for x in got[h]]), np.concatenate([x[1] for x in got[h]]))]
-                    if len(words[h]) > 300_000 or len(got[h][0][0]) > 1_500_000:
-                        yield from flush(bool(h), words[h], got[h])
-                        words[h], got[h] = Counter(), []
+                    if len(words[h]) > CODES or len(got[h][0][0]) > 1_500_000:
+                        yield from flush(bool(h), words[h], times[h], got[h])
+                        words[h], times[h], got[h] = Codes(), np.zeros(0, np.int64), []
         for h in (0, 1):
-            yield from flush(bool(h), words[h], got[h])
+            yield from flush(bool(h), words[h], times[h], got[h])
 
     rows = docs.select((crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "kind byte, key long, n long, a long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
@@ -430,19 +451,19 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
 
         lookup, keys, n = shared.value
         logs, seen = np.append(np.log10(n + 0.1), 0.0), np.append(n > 0, False)
-        row = TaskContext.get().partitionId() << 33
+        row, codes, place = TaskContext.get().partitionId() << 33, Codes(), np.zeros(0, np.int64)
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 streams = [stream(x) for x in arrow_bytes(b.column("text"))]
                 cut = [[*s.split(), END] for s in streams]
-                distinct = list({w for x in cut for w in x})
-                hashed = np.array([word_key(w) for w in distinct], np.int64)
-                at = np.minimum(np.searchsorted(keys, hashed), max(0, len(keys) - 1))
-                found = keys[at] == hashed if len(keys) else np.zeros(len(hashed), bool)
-                code = dict(zip(distinct, range(len(distinct)), strict=True))
-                place = np.where(found, at, len(keys))
                 lengths = np.array([len(x) for x in cut], np.int64)
-                c = np.fromiter((code[w] for x in cut for w in x), np.int64, int(lengths.sum()))
+                if len(codes) > CODES:
+                    codes, place = Codes(), np.zeros(0, np.int64)
+                c = codes.of(cut, int(lengths.sum()))
+                hashed = codes.hashes()
+                new = hashed[len(place) :]
+                at = np.minimum(np.searchsorted(keys, new), max(0, len(keys) - 1))
+                place = np.concatenate([place, np.where(keys[at] == new, at, len(keys)) if len(keys) else np.zeros(len(new), np.int64)])
                 p, begin = place[c], np.cumsum(lengths) - lengths  # a text has a token at least
                 rare = np.flatnonzero(p == len(keys))
                 g, bounds = windows(streams, depth)
