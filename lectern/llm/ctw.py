@@ -431,10 +431,10 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
 
     Null and empty texts are one end token. With no training document every count is 0: base_score is that
     of the smoothing alone and every bit has probability 1/2. Repeated rows are scored each; other columns are ignored.
-    The shares decide what is looked up and what is joined, not the result. depth is 2 or more.
+    The shares decide what is looked up and what is joined, not the result. depth is 2 to 6.
     """
-    if not TOP <= depth <= 7:
-        raise ValueError("depth is 2 to 7")
+    if not TOP <= depth <= 6:
+        raise ValueError("depth is 2 to 6: windows are kept in 56 bits, so that they sort alike signed and unsigned")
     spark = docs.sparkSession
     counts = stored(corpus_counts(docs, depth, held_fold, folds), "ctw-counts")
     words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == WINDOW)

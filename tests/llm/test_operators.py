@@ -517,6 +517,18 @@ def test_scores(spark, hard):
             assert x.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[r]), rel=1e-6)
 
 
+@pytest.mark.parametrize("depth", [2, 6])
+def test_other_depths(spark, depth):
+    docs = spark.createDataFrame([(i, f"tree {'of' * (i % 5)} words \u00ff\u00e9 {i * i}") for i in range(60)], "doc_id long, text string")
+    rows = {r.doc_id: (ctw.stream(r.text.encode()), zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in docs.collect()}
+    tree = ctw.grow(*ctw.counted(ctw.inside(*ctw.windows([s for s, held in rows.values() if not held], depth))), depth)
+    for r in ctw.scores(docs, depth, window_share=1e-3).collect():
+        s, held = rows[r.doc_id]
+        assert r.held_out == held and r.score == pytest.approx(tree.log10(ctw.inside(*ctw.windows([s], depth))).sum(), rel=1e-4)
+    with pytest.raises(ValueError):
+        ctw.scores(docs, 7)
+
+
 def test_blocks_come_whole():
     block = np.sort(np.random.default_rng(0).integers(0, 40, 5000))
     batches = [pa.RecordBatch.from_arrays([pa.array(block[i : i + 97]), pa.array(np.arange(i, min(i + 97, 5000)))], names=["block", "key"]) for i in range(0, 5000, 97)]
