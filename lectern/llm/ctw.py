@@ -14,7 +14,7 @@ Nothing is cut off, at any size: every window of the corpus is counted and every
    depth 1 reach the driver, and as many go back, whatever the corpus.
 3. A second pass over the blocks gives each distinct window its log-probability.
 4. Texts are scored where they are read. Windows with at least WINDOW_SHARE of all are looked up in a broadcast of at most
-   1 / WINDOW_SHARE entries of 12 bytes; the others, once a text with their count, are joined. Both give the same numbers.
+   1 / WINDOW_SHARE entries of 16 bytes; the others, once a text with their count, are joined. Both give the same numbers.
 """
 
 from __future__ import annotations
@@ -209,29 +209,34 @@ class Crown:
 
 @dataclass
 class Lookup:
-    """Sorted windows with their values, behind a direct-mapped table of some of them that is filled once a process."""
+    """Sorted windows with their values, behind a direct-mapped table that is filled once a process: in order, so that the last of a slot stays."""
 
     keys: np.ndarray
     values: np.ndarray
+    order: np.ndarray
     table: tuple[np.ndarray, np.ndarray] | None = None
 
     def get(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The value of each window, 0 where there is none, and the places of those."""
         if not len(self.keys):
             return np.zeros(len(grams)), np.arange(len(grams))
-        place = lambda g: (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        place = lambda g: ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
         if self.table is None:
             self.table = np.full(1 << SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << SLOTS, np.float32)
-            at = place(self.keys)
-            self.table[0][at] = self.keys
-            self.table[1][at] = self.values[np.searchsorted(self.keys, self.table[0][at])]
+            at = place(self.keys[self.order])
+            last = np.zeros(1 << SLOTS, np.int64)
+            last[at] = self.order
+            self.table[0][at], self.table[1][at] = self.keys[last[at]], self.values[last[at]]
         slot = place(grams)
-        out = self.table[1][slot].astype(np.float64)
-        miss = np.flatnonzero(self.table[0][slot] != grams)
-        at = np.minimum(np.searchsorted(self.keys, grams[miss]), len(self.keys) - 1)
-        found = self.keys[at] == grams[miss]
-        out[miss] = np.where(found, self.values[at], 0.0)
-        return out, miss[~found]
+        out = self.table[1].take(slot).astype(np.float64)
+        miss = np.flatnonzero(self.table[0].take(slot) != grams)
+        want = grams.take(miss)
+        each = counted(want)[0]  # sorted needles keep to the cache
+        at = np.minimum(np.searchsorted(self.keys, each), len(self.keys) - 1)
+        have = self.keys[at] == each
+        back = np.searchsorted(each, want)
+        out[miss] = np.where(have, self.values[at], 0.0)[back]
+        return out, miss[~have[back]]
 
 
 def word_key(word: bytes) -> int:
@@ -398,11 +403,10 @@ def window_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     return in_blocks(grams, ["n", "a"]).mapInArrow(run, "key long, a long, v float")
 
 
-def _sorted_pairs(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select("key", value).toArrow()
-    k, v = t.column("key").to_numpy(), t.column(value).to_numpy()
-    order = np.argsort(k)
-    return k[order], v[order]
+def _sorted_by_key(df: DataFrame, *values: str) -> list[np.ndarray]:
+    t = df.select("key", *values).toArrow()
+    order = np.argsort(t.column("key").to_numpy())
+    return [t.column(c).to_numpy()[order] for c in ("key", *values)]
 
 
 TAIL = pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
@@ -441,9 +445,10 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
     total, everywhere, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.sum("a"), F.sum((F.col("n") > 0).cast("long"))).first())
     values = stored(window_scores(grams.select("key", "n", "a"), depth), "ctw-windows")
     all_windows = values.agg(F.sum("a")).first()[0] or 0
-    word_keys, word_n = _sorted_pairs(words.where(F.col("a") >= F.lit(max(1.0, word_share * everywhere))), "n")
-    gram_keys, gram_v = _sorted_pairs(values.where(F.col("a") >= F.lit(max(1.0, window_share * all_windows))), "v")
-    shared = spark.sparkContext.broadcast((Lookup(gram_keys.view(np.uint64), gram_v), word_keys, word_n))
+    word_keys, word_n = _sorted_by_key(words.where(F.col("a") >= F.lit(max(1.0, word_share * everywhere))), "n")
+    gram_keys, gram_v, gram_a = _sorted_by_key(values.where(F.col("a") >= F.lit(max(1.0, window_share * all_windows))), "v", "a")
+    lookup = Lookup(gram_keys.view(np.uint64), gram_v, np.argsort(gram_a, kind="stable").astype(np.int32))
+    shared = spark.sparkContext.broadcast((lookup, word_keys, word_n))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("sums", pa.float64()), ("n_bytes", pa.int64()), ("tail", pa.list_(TAIL))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
