@@ -19,6 +19,7 @@ Nothing is cut off, at any size: every window of the corpus is counted and every
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -239,6 +240,14 @@ class Lookup:
         return out, miss[~have[back]]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: a worker process that waits for its next task holds none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def word_key(word: bytes) -> int:
     """A word's 64-bit hash as a signed integer; counts are kept by it."""
     h = xxhash.xxh64_intdigest(word, 7)
@@ -299,16 +308,20 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
                     more[: len(times[h])] += times[h]
                     times[h] = more
                     got[h].append(counted(inside(*windows(streams, depth))))
-                    if sum(len(x[0]) for x in got[h]) > 2_000_000:
+                    if sum(len(x[0]) for x in got[h][1:]) > max(500_000, len(got[h][0][0])):
                         got[h] = [counted(np.concatenate([x[0] for x in got[h]]), np.concatenate([x[1] for x in got[h]]))]
                     if len(words[h]) > CODES or len(got[h][0][0]) > 1_500_000:
                         yield from flush(bool(h), words[h], times[h], got[h])
                         words[h], times[h], got[h] = Codes(), np.zeros(0, np.int64), []
+            give_back()
         for h in (0, 1):
             yield from flush(bool(h), words[h], times[h], got[h])
+        del words, times, got
+        give_back()
 
     rows = docs.select((crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind byte, key long, n long, a long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    # Each task has added up its own keys: another table of them before the shuffle would only hold memory.
+    return rows.mapInArrow(run, "kind byte, key long, n long, a long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
 
 
 def in_blocks(grams: DataFrame, columns: list[str]) -> DataFrame:
@@ -481,6 +494,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
                 ids = np.arange(row, row + len(cut))
                 row += len(cut)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("doc_id"), b.column("held_out"), pa.array(lengths), pa.array(np.add.reduceat(seen[p].astype(np.int64), begin)), pa.array(np.add.reduceat(logs[p], begin)), pa.array(sums), pa.array([len(s) for s in streams], pa.int64()), tail], schema=schema)
+            give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("text").cast("string").alias("text"))
     # Written once: the row numbers, which a second run of a task could give otherwise, are fixed from here on.
