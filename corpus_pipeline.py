@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import divergence, packing, simhash, toxicity
+from lectern.llm import divergence, minhash, packing, toxicity
 from lectern.llm.common import drop_path, scratch_path, table
 
 
@@ -23,8 +23,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each component of texts whose sets of five-word shingles are at least 0.8 alike, the one with the smallest doc_id."""
+    return minhash.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
