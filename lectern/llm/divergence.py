@@ -3,9 +3,10 @@
 A document's character-class and common-word histograms are compared with references of the languages of the corpus by
 Jensen-Shannon distance. The references come from two counting passes over all documents: word counts in
 hash buckets, then exact counts of the words in heavy buckets. A common word has at least
-MIN_SHARE of its language's words and a language at least LANGUAGE_SHARE of all, so that the references
-have at most 1 / MIN_SHARE words for each of 1 / LANGUAGE_SHARE languages, however large the corpus: that
-is what goes to the driver and into the plan. Scoring is then a projection: no join, no shuffle.
+MIN_SHARE of its language's words. A language with MIN_WORDS words, or in small tables LANGUAGE_SHARE of all, has
+a reference, at most the 1 / LANGUAGE_SHARE largest: so the references have at most 1 / MIN_SHARE words for each of
+1 / LANGUAGE_SHARE languages, however large the corpus: that is what goes to the driver and into the plan.
+A document whose own language has no reference is not judged by distance. Scoring is then a projection: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CLASSES = ("lower", "gap", "upper", "digit", "point", "other_letter", "symbol")
 CLASS_PATTERNS = ("[a-z]+", WORD_GAP, "[A-Z]+", "[0-9]+", "[.,;:!?'\"()\\-]+", "[^\\x00-\\x7F]+")
 BUCKETS, WINDOW = 1 << 16, 8
 MIN_SHARE, LANGUAGE_SHARE = 0.002, 0.02
+#: Words of a language that make its histogram stable: a common word then occurs ten times at least.
+MIN_WORDS = 5000
 
 
 @dataclass
@@ -90,7 +93,7 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long"))
 
 
-def build_references(docs: DataFrame, min_share: float = MIN_SHARE, language_share: float = LANGUAGE_SHARE) -> References:
+def build_references(docs: DataFrame, min_share: float = MIN_SHARE, language_share: float = LANGUAGE_SHARE, min_words: int = MIN_WORDS) -> References:
     """References of the languages in docs.lang, from all its texts. Rows without a language or words give nothing; an empty table gives no references."""
     named = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     each = named.select("lang", F.explode(word_array(F.col("text"))).alias("word"))
@@ -99,7 +102,7 @@ def build_references(docs: DataFrame, min_share: float = MIN_SHARE, language_sha
     by_bucket = buckets.groupBy("lang").agg(F.sum("n").alias("total"))
     totals = {r["lang"]: r["total"] for r in by_bucket.orderBy(F.desc("total"), "lang").limit(math.ceil(1 / language_share)).collect()}
     whole = sum(totals.values())
-    totals = {k: n for k, n in totals.items() if n >= language_share * whole}
+    totals = {k: n for k, n in totals.items() if n >= min(min_words, language_share * whole)}
     out = References()
     if not totals:
         return out
@@ -157,23 +160,25 @@ def word_distance(histogram: Column, n_words: Column, reference: dict[str, float
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
-def measures(text: Column, refs: References, limits: Limits | None = None) -> Column:
+def measures(text: Column, refs: References, limits: Limits | None = None, lang: Column | None = None) -> Column:
     """A struct of MEASURES for a text, as one expression: whatever Catalyst moves, each part is computed once a row.
 
     Distances are the least over the languages; null where there are no references or the text is
-    shorter than the guards (min_chars, min_words), and then they do not fail a document. A null text has no
+    shorter than the guards (min_chars, min_words), or where lang, if given, has no reference of its own (a null
+    lang is judged by all), and then they do not fail a document. A null text has no
     words: all counts 0, base_failed, not kept.
     """
     limits = limits or Limits()
     common = sorted({w for ref in refs.words.values() for w in ref})
     none = F.lit(None).cast("double")
+    judged = F.lit(True) if lang is None else F.coalesce(lang.cast("string").isin(list(refs.classes)), F.lit(True))
     least = lambda v: F.least(*v) if len(v) > 1 else (v[0] if v else none)
 
     def of(t: Column, words: Column, classes: Column) -> Column:
         n = F.size(words).cast("long")
-        by_class = F.when(F.length(t) >= limits.min_chars, least([class_distance(classes, q) for _, q in sorted(refs.classes.items())])).otherwise(none)
+        by_class = F.when(judged & (F.length(t) >= limits.min_chars), least([class_distance(classes, q) for _, q in sorted(refs.classes.items())])).otherwise(none)
         by_word = let(word_histogram(words, common), lambda h: least([word_distance(h, n, q) for _, q in sorted(refs.words.items())])) if common else none
-        by_word = F.when(n >= limits.min_words, by_word).otherwise(none)
+        by_word = F.when(judged & (n >= limits.min_words), by_word).otherwise(none)
         symbols = F.when(F.get(classes, F.lit(6)) == 0, F.lit(0)).otherwise(F.regexp_count(t, F.lit("[#*$%&|<>]"))).cast("long")
 
         def verdict(repeats: Column, dc: Column, dw: Column) -> Column:
@@ -190,10 +195,10 @@ def measures(text: Column, refs: References, limits: Limits | None = None) -> Co
 
 def kept(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows of docs, with their own columns, that the rules keep, against references of all docs."""
-    return docs.where(measures(F.col("text"), build_references(docs), limits)["kept"])
+    return docs.where(measures(F.col("text"), build_references(docs), limits, F.col("lang"))["kept"])
 
 
 def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """doc_id with the counts, distances and verdict of measures(), against references of all docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text"), build_references(docs), limits).alias("m"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text"), build_references(docs), limits, F.col("lang")).alias("m"))
     return rows.select("doc_id", *[f"m.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")])
