@@ -1,13 +1,17 @@
 """Best-fit-decreasing packing with a segment tree over remaining capacities (operator 9), and the token pieces it packs.
 
-Scale: documents are tokenised where they are read; only (id, piece, length, checksum) is shuffled,
-by a hash, into groups of a few thousand documents. Every group is packed on its own, so no task
-grows with the input and each group wastes about one sequence at most.
+1. A task tokenises its documents, cuts overlong ones, and packs every GROUP_TOKENS tokens it has read: nothing is
+   shuffled, what a task holds is bounded by tokens, and neither a hot key nor repeated rows can gather in one group.
+2. The outcome is written to the shared folder, so that a task that runs again cannot deal rows anew.
+3. Sequences that were left with an eighth of their room or more, a few for each run, are packed again
+   across tasks, dealt by the hash of their sequence into groups of about GROUP_TOKENS tokens. So a table of up to that size
+   is one run of best-fit decreasing, however many files it has.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_texts, slices
+from lectern.llm.common import arrow_texts, scratch_path, slices
 
-#: Documents of one packing group. At least MIN_GROUPS groups, so that small inputs still spread.
-DOCS_PER_GROUP, MIN_GROUPS = 2048, 32
+#: Tokens, and pieces (which can be empty), of one packing run.
+GROUP_TOKENS, GROUP_PIECES = 1 << 21, 1 << 17
+#: A sequence with at least this share of its capacity left is packed again.
+ROOM = 1 / 8
 
 
 class CapacityTree:
@@ -89,24 +95,41 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Strings that the vocabulary's file sets apart before it splits a text, with their ids."""
+    with open(json_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that take their surroundings along are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 @lru_cache(maxsize=4)
-def ranks_encoder(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Text to ids by a rank file. These are the ids that the json of the same vocabulary gives (tests hold them equal), about four times as fast."""
+def ranks_encoder(ranks_path: str, pattern: str, json_path: str | None = None) -> Callable[[str], np.ndarray]:
+    """Text to ids by a rank file, with the added tokens of the json file of the same vocabulary.
+
+    These are the ids that `tokenizers` gives by that json (tests hold the two equal), about four times as fast.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(enc.encode_ordinary(text), np.uint32)
+    special = added_tokens(json_path) if json_path else {}
+    enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> np.ndarray:
+        ids = enc.encode(text, allowed_special="all") if any(s in text for s in special) else enc.encode_ordinary(text)
+        return np.asarray(ids, np.uint32)
+
+    return encode
 
 
 @lru_cache(maxsize=4)
 def json_encoder(json_path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids by a tokenizers json file; special tokens' strings in a text are ordinary text."""
+    """Text to ids by a tokenizers json file, the library left as it is."""
     from tokenizers import Tokenizer
 
     enc = Tokenizer.from_file(json_path)
-    enc.encode_special_tokens = True
     return lambda text: np.asarray(enc.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -114,7 +137,7 @@ def public_encoder() -> Callable[[str], np.ndarray]:
     """The production vocabulary, found where the worker runs."""
     import public_tokenizers as P
 
-    return ranks_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return ranks_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"))
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -126,64 +149,95 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (first if s == 0 and first else capacity)) for s in starts]
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PIECES_IDS = PIECES.append(pa.field("ids", pa.binary()))
-PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
-def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, encoder: Callable = public_encoder, keep_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32 and, on demand, the ids as little-endian unsigned 32-bit integers.
-
-    Null or empty text gives the end id alone (with no end id: one piece of length 0). Repeated rows
-    give their pieces repeatedly, null doc_id stays null, columns besides doc_id and text are ignored.
+class Run:
+    """Pieces of a task that are packed together: columns, and after pack() their sequences and offsets."""
+
+    def __init__(self) -> None:
+        self.doc_id: list[int | None] = []
+        self.piece: list[int] = []
+        self.start: list[int] = []
+        self.length: list[int] = []
+        self.ids: list[bytes] = []
+        self.tokens = 0
+
+    def pack(self, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bin and offset of each piece, and the tokens in each bin."""
+        lengths = np.array(self.length, np.int64)
+        bins, offsets = best_fit_decreasing(lengths, capacity)
+        return bins, offsets, np.bincount(bins, weights=lengths).astype(np.int64)
+
+
+def packing_runs(batches: Iterator[pa.RecordBatch], encode: Callable[[str], np.ndarray], capacity: int, end_id: int | None, dtype: str = "<u4", group_tokens: int = GROUP_TOKENS) -> Iterator[Run]:
+    """The pieces of a task's documents (doc_id, text), a Run each group_tokens tokens. An id that dtype does not hold raises OverflowError."""
+    run, most = Run(), np.iinfo(dtype).max
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), arrow_texts(batch.column("text")), strict=True):
+                ids = encode(text)
+                if end_id is not None:
+                    ids = np.append(ids, np.uint32(end_id))
+                if len(ids) and int(ids.max()) > most:
+                    raise OverflowError("an id does not fit 16 bits; use width=4")
+                raw, width = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+                for piece, (start, n) in enumerate(cut_points(len(ids), capacity)):
+                    run.doc_id.append(doc_id)
+                    run.piece.append(piece)
+                    run.start.append(start)
+                    run.length.append(n)
+                    run.ids.append(raw[width * start : width * (start + n)])
+                    run.tokens += n
+                if run.tokens >= group_tokens or len(run.length) >= GROUP_PIECES:
+                    yield run
+                    run = Run()
+    if run.length:
+        yield run
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def dealt(rows: DataFrame, tokens: str) -> DataFrame:
+    """Rows of sequences that are packed again, with the group (grp) of each sequence: about GROUP_TOKENS tokens a group."""
+    total = rows.agg(F.sum(tokens)).first()[0] or 0
+    return rows.withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, math.ceil(total / GROUP_TOKENS)))).cast("long"))
+
+
+def again_id(group: int) -> int:
+    """The first sequence id of a group of the second round; the first round's are the task's number and a count, below."""
+    return 1 << 62 | group << 32
+
+
+PACKED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+PACKED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+OPEN = PACKED.append(pa.field("open", pa.bool_()))
+
+
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, encoder: Callable = public_encoder, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Pack all documents into sequences of at most capacity tokens; a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Within a sequence the offsets are gapless from 0; sequence ids are distinct but not dense. Null or
+    empty text gives the end id alone (with no end id: one piece of length 0). Repeated rows are packed as often
+    as they come, a null doc_id stays null, columns besides doc_id and text are ignored, an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows: list[list] = [[] for _ in range(6)]
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), arrow_texts(batch.column("text")), strict=True):
-                    ids = encode(text)
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
-                    raw = ids.astype("<u4").tobytes()
-                    for piece, (start, n) in enumerate(cut_points(len(ids), capacity)):
-                        part = raw[4 * start : 4 * (start + n)]
-                        for to, x in zip(rows, (doc_id, piece, start, n, zlib.crc32(part), part), strict=True):
-                            to.append(x)
-                schema = PIECES_IDS if keep_ids else PIECES
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, schema.types, strict=False)], schema=schema)
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, PIECES_DDL + (", ids binary" if keep_ids else ""))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        base = TaskContext.get().partitionId() << 32
+        for run in packing_runs(batches, encoder(), capacity, end_id, "<u4", group_tokens):
+            bins, offsets, used = run.pack(capacity)
+            crc = [zlib.crc32(x) for x in run.ids]
+            columns = (run.doc_id, run.piece, run.start, run.length, crc, bins + base, offsets, capacity - used[bins] >= ROOM * capacity)
+            base += len(used)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, OPEN.types, strict=True)], schema=OPEN)
 
-def group_count(docs: DataFrame) -> int:
-    """From the row count alone, which Parquet footers hold."""
-    return max(MIN_GROUPS, math.ceil(docs.count() / DOCS_PER_GROUP))
-
-
-def grouped(pieces: DataFrame, groups: int) -> DataFrame:
-    """The group of each piece, from its own values: a task that runs again deals the same rows to the same place."""
-    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
-
-
-PACKED = PIECES.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
-
-
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, encoder: Callable = public_encoder) -> DataFrame:
-    """Pack all documents into sequences of at most capacity tokens; a row per piece with sequence_id and offset.
-
-    Within a sequence the offsets are gapless from 0; sequence ids are distinct across groups but
-    not dense. Empty table: no rows. Repeated rows are packed as often as they come; see token_pieces for nulls.
-    """
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.drop_columns(["grp"]).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+    def second(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.select(PACKED.names).sort_by([("sequence_id", "ascending"), ("offset", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit_decreasing(t.column("length").to_numpy(), capacity)
-        base = key[0].as_py() << 32
-        return t.append_column("sequence_id", pa.array(bins + base, pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).cast(PACKED)
+        return t.set_column(5, "sequence_id", pa.array(bins + again_id(key[0].as_py()), pa.int64())).set_column(6, "offset", pa.array(offsets, pa.int64())).cast(PACKED)
 
-    pieces = grouped(token_pieces(docs, capacity, end_id, encoder), group_count(docs))
-    return pieces.groupBy("grp").applyInArrow(run, PIECES_DDL + ", sequence_id long, offset long")
+    path = scratch_path(docs.sparkSession, "packed")
+    texts_of(docs).mapInArrow(first, PACKED_DDL + ", open boolean").write.parquet(path)
+    rows = docs.sparkSession.read.schema(PACKED_DDL + ", open boolean").parquet(path)
+    return rows.where("not open").drop("open").unionByName(dealt(rows.where("open"), "length").groupBy("grp").applyInArrow(second, PACKED_DDL))

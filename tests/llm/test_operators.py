@@ -84,7 +84,7 @@ def test_capacity_tree_is_best_fit():
 
 
 def test_packing_keeps_every_id(spark, hard):
-    encode = ids_of()
+    encode = packing.public_encoder()
     got = packing.pack(hard, 64).collect()
     want = []
     for i, t in HARD:
@@ -103,16 +103,67 @@ def test_packing_keeps_every_id(spark, hard):
         assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(v)) and v[-1][0] + v[-1][1] <= 64
 
 
-def test_both_vocabulary_files_give_the_same_ids(spark):
-    encode, other = packing.public_encoder(), packing.json_encoder(P.path("byte_bpe_50k.json"))
-    texts = [t or "" for _, t in HARD] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+def test_ids_are_those_of_the_contracts_call(spark):
+    from tokenizers import Tokenizer
+
+    encode, library = packing.public_encoder(), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>x", "  \n<|endoftext|>\n\n", "<|endoftext|", "x<|endoftext|>'s"]
+    texts = special + [t or "" for _, t in HARD] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     for t in texts:
-        assert np.array_equal(encode(t), other(t))
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    odd = [f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}!" for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(odd), 4000):
+        t = " ".join(odd[i : i + 4000])
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def sequences(rows):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for v in bins.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(v))
+    return bins
+
+
+def test_equal_rows_spread_over_runs_and_few_sequences_are_left_with_room(spark):
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")).repartition(5)
+    got = packing.pack(same, 64, group_tokens=1000).collect()
+    assert len(got) == 20_000 and {tuple(r[:5]) for r in got} == {(None, 0, 0, 1, zlib.crc32(np.array([2], "<u4").tobytes()))}
+    bins = sequences(got)
+    assert len(bins) == math.ceil(20_000 / 64)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = len(sequences(packing.pack(docs.coalesce(1)).collect()))
+    many = packing.pack(docs.repartition(40), group_tokens=5000).collect()
+    assert one <= len(sequences(many)) <= 1.02 * one  # forty small tasks with many runs each
+    assert multiset(tuple(r[:5]) for r in many) == multiset(tuple(r[:5]) for r in packing.pack(docs).collect())
+
+
+def test_no_run_holds_more_than_its_tokens():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": ["x" * (i % 7) * 90 for i in range(500)]})
+    runs = list(packing.packing_runs(iter([batch]), lambda t: np.zeros(len(t), np.uint32), 256, 2, group_tokens=4000))
+    assert len(runs) > 10 and all(r.tokens < 4000 + 7 * 90 for r in runs) and sum(r.tokens for r in runs) == sum(i % 7 * 90 + 1 for i in range(500))
+
+
+def test_matrices_are_written_and_read_back(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(7)
+    path = str(tmp_path / "m")
+    token_output.write_matrices(docs, path, group_tokens=5000)
+    rows = token_output.read_matrices(spark, path).collect()
+    assert spark.read.parquet(f"{path}/again").count() and {len(r.input_ids) for r in rows} == {2048}
+    want = multiset(tuple(r) for r in packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    got = Counter()
+    for r in rows:
+        ids = np.frombuffer(r.input_ids, "<u2")
+        for a, b, *what in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.pieces, r.starts, strict=False):
+            got[*what, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())] += 1
+    assert got == want and len(rows) == len({r.sequence_id for r in rows})
 
 
 def test_matrices_round_trip(spark, hard):
-    encode = ids_of()
-    rows = token_output.packed_matrices(hard, 128).collect()
+    encode = packing.public_encoder()
+    rows = token_output.packed_matrices(hard, capacity=128).collect()
     parts = defaultdict(list)
     for r in rows:
         ids = np.frombuffer(r.input_ids, "<u2")
@@ -124,7 +175,7 @@ def test_matrices_round_trip(spark, hard):
             assert sum((p for _, p in sorted(parts[i])), []) == [*encode(t or ""), 2]
     assert len(parts[6]) == 2
     with pytest.raises(Exception, match="16 bits"):
-        token_output.packed_matrices(hard, 128, end_id=70000).collect()
+        token_output.packed_matrices(hard, capacity=128, end_id=70000).collect()
 
 
 # -- 2: FLAC
