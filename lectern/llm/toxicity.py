@@ -6,8 +6,8 @@ expressions and unseen forms of a stem are smoothed alike and do not tell for ei
 the difference of its two log-likelihoods, normalised by its length, over the whole text and over its most
 toxic words; a logistic curve, fitted on documents that a model of the other half of them scored, makes a probability of it.
 
-Labels may be fitted on at most MAX_TRAIN documents, taken by a hash of the id where there are more; that is
-the proven bound of what is broadcast for the join, and with it the model's size. Scoring is a map.
+Labels may be fitted on at most MAX_TRAIN documents and MAX_BYTES of text, taken by a hash of the id where there are more, and on
+at most MAX_GRAMS grams, the most frequent: so what is broadcast and the model have a bound whatever the texts are. Scoring is a map.
 """
 
 from __future__ import annotations
@@ -16,15 +16,18 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_texts, crc_fold, slices
+from lectern.llm.common import arrow_texts, crc_fold, slices, stored
 
-ORDER, DISCOUNT, MAX_TRAIN, CACHE_WORDS = 5, 0.75, 20_000, 300_000
+ORDER, DISCOUNT, CACHE_WORDS = 8, 0.75, 300_000
+#: The most that training reads and keeps: labelled documents, bytes of their texts, distinct grams. Scoring has no such bound.
+MAX_TRAIN, MAX_BYTES, MAX_GRAMS = 20_000, 256 << 20, 4_000_000
 EDGE = ".,;:!?\"'()[]{}<>*_-`~|/\\#$%&"
 THRESHOLD = 0.3
 
@@ -42,85 +45,84 @@ def grams_of(word: str, order: int = ORDER) -> list[str]:
 
 @dataclass
 class Model:
-    """Difference of the classes' log-probabilities: of seen grams, and of any other character after a context."""
+    """Difference of the classes' log-probabilities: of seen grams, and of any other character after a context. Without weights nothing was learnt."""
 
     seen: dict[str, float]
     after: dict[str, float]
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] | None = None
 
     def word(self, word: str) -> float:
         seen, after = self.seen, self.after
         return sum(seen[g] if g in seen else after.get(g[:-1], 0.0) for g in grams_of(word))
 
 
-def train(counts: dict[tuple[int, str], int], discount: float = DISCOUNT) -> Model:
-    """counts: (class 0 or 1, gram) to how often."""
-    of: tuple[dict, dict] = ({}, {})
-    for (c, g), n in counts.items():
-        of[c][g] = of[c].get(g, 0) + n
-    # Shared backoff: in how many distinct ways a gram continues one longer to its left, over both classes.
-    levels: dict[int, dict[str, int]] = defaultdict(dict)
-    types = {g for d in of for g in d}
-    cut = {g[1:] for g in types if len(g) > 1}
-    more: dict[str, int] = defaultdict(int)
-    todo = set(types)
-    while todo:
-        shorter = set()
-        for g in todo:
+class KneserNey:
+    """Interpolated models of two classes over one chain of continuation counts. counts: (class 0 or 1, gram) to how often."""
+
+    def __init__(self, counts: dict[tuple[int, str], int], discount: float = DISCOUNT):
+        self.discount = discount
+        self.of: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for (c, g), n in counts.items():
+            self.of[c][g] = self.of[c].get(g, 0) + n
+        self.types = {g for d in self.of for g in d}
+        # A gram's continuation count is in how many distinct characters to its left it, or a longer gram's end, is met, over both classes.
+        ends = {g[i:] for g in self.types for i in range(len(g))}
+        self.left: dict[str, int] = defaultdict(int)
+        for g in ends:
             if len(g) > 1:
-                more[g[1:]] += 1
-                shorter.add(g[1:])
-        todo = shorter - cut if not cut else shorter
-        cut = set()
-    total, kinds = defaultdict(int), defaultdict(int)
-    for g, n in more.items():
-        total[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    alphabet = max(1, kinds[""])
-    memo: dict[str, float] = {}
-
-    def shared(g: str) -> float:
-        got = memo.get(g)
+                self.left[g[1:]] += 1
+        self.left_total, self.left_kinds = defaultdict(int), defaultdict(int)
+        for g, n in self.left.items():
+            self.left_total[g[:-1]] += n
+            self.left_kinds[g[:-1]] += 1
+        self.total, self.kinds = (defaultdict(int), defaultdict(int)), (defaultdict(int), defaultdict(int))
+        for c in (0, 1):
+            for g, n in self.of[c].items():
+                self.total[c][g[:-1]] += n
+                self.kinds[c][g[:-1]] += 1
+        self.memo: dict[str, float] = {}
+
+    def shared(self, gram: str) -> float:
+        """The backoff probability of gram's last character after the others; the alphabet has one place for characters never met."""
+        got = self.memo.get(gram)
         if got is None:
-            h = g[:-1]
-            low = shared(g[1:]) if len(g) > 1 else 1.0 / (alphabet + 1)
-            n = total.get(h, 0)
-            got = memo[g] = (max(more.get(g, 0) - discount, 0) + discount * kinds[h] * low) / n if n else low
+            context, d = gram[:-1], self.discount
+            low = self.shared(gram[1:]) if context else 1.0 / (self.left_kinds.get("", 0) + 1)
+            n = self.left_total.get(context, 0)
+            got = low if not n else (max(self.left.get(gram, 0) - d, 0) + d * self.left_kinds[context] * low) / n
+            self.memo[gram] = got
         return got
 
-    del levels
-    sums = [defaultdict(int), defaultdict(int)]
-    sorts = [defaultdict(int), defaultdict(int)]
-    for c in (0, 1):
-        for g, n in of[c].items():
-            sums[c][g[:-1]] += n
-            sorts[c][g[:-1]] += 1
-    back = [{h: discount * sorts[c][h] / n for h, n in sums[c].items()} for c in (0, 1)]
-    seen = {}
-    for g in types:
-        h = g[:-1]
-        low = shared(g[1:]) if len(g) > 1 else shared(g)
-        p = [(max(of[c].get(g, 0) - discount, 0) / sums[c][h] + back[c][h] * low) if h in back[c] else low for c in (0, 1)]
-        seen[g] = math.log(p[1] / p[0])
-    after = {h: math.log(back[1].get(h, 1.0) / back[0].get(h, 1.0)) for h in {*back[0], *back[1]}}
-    return Model(seen, after)
+    def backoff(self, c: int, context: str) -> float:
+        """What class c leaves for the shared chain after a context."""
+        n = self.total[c].get(context, 0)
+        return self.discount * self.kinds[c][context] / n if n else 1.0
+
+    def probability(self, c: int, gram: str) -> float:
+        context = gram[:-1]
+        low = self.shared(gram[1:]) if context else self.shared(gram)
+        n = self.total[c].get(context, 0)
+        return (max(self.of[c].get(gram, 0) - self.discount, 0) / n if n else 0.0) + self.backoff(c, context) * low
+
+
+def train(counts: dict[tuple[int, str], int], discount: float = DISCOUNT) -> Model:
+    """counts: (class 0 or 1, gram) to how often."""
+    kn = KneserNey(counts, discount)
+    seen = {g: math.log(kn.probability(1, g) / kn.probability(0, g)) for g in kn.types}
+    return Model(seen, {h: math.log(kn.backoff(1, h) / kn.backoff(0, h)) for h in {g[:-1] for g in kn.types}})
 
 
 def features(model: Model, words: list[str], cache: dict[str, float]) -> tuple[float, float, float]:
-    """Of a text's words: the length-normalised difference of the log-likelihoods, then the largest and second largest of a distinct word."""
+    """Of a text's words: the length-normalised difference of the log-likelihoods, then the largest and second largest of its distinct words (0 where there is none)."""
     if not words:
         return 0.0, 0.0, 0.0
-    values, top = [], {}
-    for w in words:
-        v = cache.get(w)
-        if v is None:
+    different = set(words)
+    for w in different:
+        if w not in cache:
             form = word_form(w)
-            v = cache[w] = model.word(form) if form else 0.0
-        values.append(v)
-        if v > 2.0:
-            top[w] = v
-    best = sorted(top.values(), reverse=True)[:2] if top else [max(values)]
-    return sum(values) / len(values), best[0], best[1] if len(best) > 1 else min(best[0], 2.0)
+            cache[w] = model.word(form) if form else 0.0
+    top = nlargest(2, map(cache.__getitem__, different))
+    return sum(map(cache.__getitem__, words)) / len(words), top[0], top[1] if len(top) > 1 else 0.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -136,15 +138,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def probability(weights: tuple[float, ...], f: tuple[float, ...]) -> float:
+def probability(weights: tuple[float, ...] | None, f: tuple[float, ...]) -> float:
+    """The curve's value; 0 without weights: what could not be learnt convicts no text."""
+    if weights is None:
+        return 0.0
     z = weights[0] + sum(w * x for w, x in zip(weights[1:], f, strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, text, toxic and half of the labelled documents outside fold 2 of 4, at most about `most` of them.
 
-    A document labelled twice counts as toxic if any label says so; null labels and ids are passed over.
+    A document labelled twice counts as toxic if any label says so; null labels and ids are passed over. Of these, in order of
+    a hash of the id, those up to most_bytes of text in all are taken. The rows are written once, as they are read twice.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(crc_fold("doc_id", 4) != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -152,11 +158,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     share = min(1.0, most / n) if n else 1.0
     mix = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30))
     few = known.where(mix < F.lit(int(share * (1 << 30)))).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = F.octet_length("text")
+    rows = stored(texts.where(size <= most_bytes).join(F.broadcast(few), "doc_id"), "toxicity-training")
+    whole = rows.agg(F.sum(size)).first()[0] or 0
+    return rows if whole <= most_bytes else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < F.lit(int(most_bytes / whole * (1 << 30))))
 
 
-def gram_counts(rows: DataFrame) -> dict[int, dict[tuple[int, str], int]]:
-    """half to ((class, gram) to how often). Counted where the texts are read, added up by Spark."""
+def gram_counts(rows: DataFrame, most: int = MAX_GRAMS) -> dict[int, dict[tuple[int, str], int]]:
+    """half to ((class, gram) to how often). Counted where the texts are read, added up by Spark; of more than `most`, the most frequent."""
     schema = pa.schema([("half", pa.int32()), ("toxic", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +185,20 @@ def gram_counts(rows: DataFrame) -> dict[int, dict[tuple[int, str], int]]:
 
     counted = rows.select("half", "toxic", "text").mapInArrow(run, "half int, toxic int, gram string, n long").groupBy("half", "toxic", "gram").agg(F.sum("n").alias("n"))
     out: dict[int, dict] = {0: {}, 1: {}}
-    t = counted.toArrow()
+    t = counted.orderBy(F.desc("n"), "gram", "half", "toxic").limit(most).toArrow()
     for half, toxic, g, n in zip(*(t.column(c).to_pylist() for c in ("half", "toxic", "gram", "n")), strict=True):
         out[half][toxic, g] = n
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """The model of all training rows, with the curve fitted on rows that the other half's model scored. Without both classes every score is the share of toxic labels."""
+    """The model of all training rows, with the curve fitted on rows that the other half's model scored.
+
+    Where the training rows do not have both classes, there is nothing to compare: the model then scores every text 0.
+    """
     rows = training_rows(docs, labels, most)
+    if rows.select("toxic").distinct().count() < 2:
+        return Model({}, {})
     halves = gram_counts(rows)
     models = {h: train(halves[1 - h]) for h in (0, 1)}
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -203,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     for k, n in halves[1].items():
         whole[k] = whole.get(k, 0) + n
     model = train(whole)
-    model.weights = logistic(x, y) if len(set(y.tolist())) == 2 else (math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0, 0.0)
+    model.weights = logistic(x, y)
     return model
 
 
@@ -211,7 +226,7 @@ def scored(docs: DataFrame, model: Model, held_fold: int = 2, threshold: float =
     """doc_id, held_out, score, predicted and llr (the length-normalised difference) of every row.
 
     The score depends on the text alone. Null and empty texts have no words and get the score of a
-    difference of 0; repeated rows are scored alike; other columns are ignored.
+    difference of 0; a model that learnt nothing scores 0 throughout; repeated rows are scored alike; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("llr", pa.float64())])
