@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, on small tables with the hard cases."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -484,11 +486,11 @@ class Text(HTMLParser):
         self.hidden, self.out = 0, []
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in warc.SILENT_TAGS.split()
+        self.hidden += tag == "head" or tag in warc.SILENT_TAGS
         self.out.append("\n" if tag in warc.BLOCK_TAGS else "")
 
     def handle_endtag(self, tag):
-        self.hidden -= tag in warc.SILENT_TAGS.split()
+        self.hidden -= tag == "head" or tag in warc.SILENT_TAGS
         self.out.append("\n" if tag in warc.BLOCK_TAGS else "")
 
     def handle_data(self, data):
@@ -496,6 +498,57 @@ class Text(HTMLParser):
             self.out.append(data.replace("\n", " "))
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<!-- x ", "<", "</", "<a b=\"", "<a b='x\" ", "<script>", "<title>", "<![CDATA[", "&amp", "<p x=", "</title", "<head>", "<a href=x\n"])
+def test_pages_of_open_markup_take_linear_time(piece):
+    def took(n):
+        page, best = piece * (n // len(piece)), 1e9
+        for _ in range(2):
+            begun = time.perf_counter()
+            warc.plain_text(page), warc.links(page, "http://a/")
+            best = min(best, time.perf_counter() - begun)
+        return best
+
+    took(1000)
+    assert took(1 << 20) < max(2.0, 40 * took(1 << 16))
+
+
+def test_markup_by_hand():
+    page = "<html><head><title>A &amp; b</title><style>p{}</style><body class='x>y'>one <b>two</b>th<!-- <p> -->ree<p title=\"a>b\">four<br/>five < 6 &lt;p&gt;<noscript>no</noscript><script>if (a<b) '</p>'</script><p"
+    assert warc.plain_text(page) == "one twothree\nfour\nfive < 6 <p>" and warc.scan(page).title == "A & b"
+    assert warc.links('<a title="href=no" HREF=q?x#y>t</a><img src=\'i.png\'><a href="i.png"><script src="/s.js">1</script><!-- <a href=z> -->', "http://h/d/") == [("A@/href", "http://h/d/q?x"), ("IMG@/src", "http://h/d/i.png"), ("A@/href", "http://h/d/i.png"), ("SCRIPT@/src", "http://h/s.js")]
+
+
+def response(http, body, *more):
+    block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n\r\n" + body
+    return warc.write_record([("warc-type", "response"), ("Warc-Record-Id", "<urn:x>"), ("WARC-Target-URI", "http://a/"), *more], block)
+
+
+def test_encodings_headers_and_digests():
+    page = "<p>h\u00e9llo</p>"
+    raw = page.encode("latin-1")
+    packed = gzip.compress(raw)
+    chunks = b"%x;e=1\r\n%s\r\n%x\r\n%s\r\n0\r\n\r\n" % (5, packed[:5], len(packed) - 5, packed[5:])
+    http = b"content-type:text/html;Charset=latin-1\r\nSET-COOKIE: a\r\nSet-Cookie:b\r\n folded"
+    told = "SHA256:" + hashlib.sha256(packed).hexdigest()
+    record = response(http + b"\r\nTransfer-Encoding: Chunked\r\ncontent-ENCODING: gzip", chunks, ("warc-payload-digest", told)).replace(b"Content-Length: ", b"content-length:", 1)
+    metadata, conversion = warc.derive(record)
+    assert warc.read_record(conversion)[1].decode() == "h\u00e9llo" and warc.read_record(conversion)[0]["warc-source-content-type"] == "text/html;Charset=latin-1"
+    body = warc.read_record(metadata)[1]
+    assert b"source-header: SET-COOKIE: a\r\nsource-header: Set-Cookie: b folded\r\n" in body and warc.read_record(metadata)[0]["WARC-Refers-To"] == "<urn:x>"
+    assert warc.read_record(warc.derive(response(b"Content-Encoding: deflate", zlib.compress(raw)[2:-4]))[1])[1].decode() == "h\ufffdllo"
+    for bad in (response(b"Content-Encoding: br", raw), response(b"Content-Encoding: gzip", raw), response(b"Transfer-Encoding: chunked", raw), response(b"X: y", raw, ("WARC-Payload-Digest", "sha1:AAAA"))):
+        with pytest.raises(warc.WarcError):
+            warc.derive(bad)
+
+
+def test_a_bad_record_stops_no_job(spark):
+    good = warc.response_record("http://a/", b"<p>x</p>")
+    rows = [(1, good), (2, None), (3, b"junk"), (4, good[:-1]), (5, good.replace(b"<p>x", b"<p>y")), (None, good)]
+    got = warc.derivatives(spark.createDataFrame([(i, bytearray(r) if r is not None else None) for i, r in rows], "page_id long, record binary")).collect()
+    assert Counter((r.page_id, r.record_type) for r in got) == Counter([(i, k) for i in (1, None) for k in ("metadata", "conversion")] + [(i, "rejected") for i in (2, 3, 4, 5)])
+    assert all((r.error is None) == (r.record is not None) for r in got)
+
+
 def test_derivatives(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame([(9001, None, None), (None, "http://a/b\r\nX: y", "<a href='c?d&amp;e#f'>t</a><p>x<!-- <p>no --> y"), (9002, "u", "")], "page_id long, url string, html string"))
     source = {r.page_id: bytes(r.record) for r in warc.responses(pages).collect()}
