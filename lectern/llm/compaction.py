@@ -17,7 +17,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,6 +30,11 @@ class CommitConflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+def file_name() -> Column:
+    """The name of the file that a row is read from; names of shards hold no characters that addresses escape."""
+    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+
+
 @dataclass(frozen=True)
 class Shard:
     """path is relative to the store; tier 0 for arrivals, then one more than the highest it was merged from."""
@@ -93,7 +98,8 @@ class ShardStore:
         files = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(run)) if s.getPath().getName().endswith(".parquet")}
         if not files:
             return []
-        rows = self.spark.read.parquet(f"{self.path}/{run}").groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"))
+        # Not by the hidden column _metadata, which a column of that name in the data would take the place of.
+        rows = self.spark.read.parquet(f"{self.path}/{run}").select(file_name().alias("name")).groupBy("name").agg(F.count("*").alias("n"))
         return [Shard(f"{run}/{r['name']}", files[r["name"]], r["n"], tier) for r in rows.orderBy("name").collect()]
 
     def append(self, df: DataFrame, rows_per_shard: int = 4096) -> int:
@@ -114,13 +120,15 @@ class ShardStore:
                 tiers.setdefault(int(math.log(max(s.bytes, 1), fanout)), []).append(s)
         return [t for _, t in sorted(tiers.items()) if len(t) >= fanout]
 
-    def compact(self, target: int = 128 * MB, fanout: int = 4, rounds: int = 20) -> int:
-        """Merge until no tier has fanout shards; returns the newest version."""
-        for _ in range(rounds):
+    def compact(self, target: int = 128 * MB, fanout: int = 4) -> int:
+        """Merge until no tier has fanout shards; returns the newest version.
+
+        It comes to an end: a group of n shards, each under half the target, makes at most n / 2, rounded up.
+        """
+        if fanout < 2:
+            raise ValueError("a tier is merged from two shards on")
+        while groups := self.plan(target, fanout):
             base, shards, schema = self.manifest()
-            groups = self.plan(target, fanout)
-            if not groups:
-                break
             made: list[Shard] = []
             for group in groups:
                 run, size = f"data/{uuid.uuid4().hex}", sum(s.bytes for s in group)
@@ -160,25 +168,27 @@ class ShardStore:
                         self._fs.delete(f, False)
 
 
-def compacted(docs: DataFrame, target: int = 32 * MB, fanout: int = 4, rows_per_shard: int = 2048) -> DataFrame:
-    """Arrivals of docs as small shards, compacted; a row per document with the shard of the final version that holds it.
+def compacted(docs: DataFrame, target: int = 32 * MB, fanout: int = 4, rows_per_shard: int = 2048, arrivals: int = 3) -> DataFrame:
+    """docs in several arrivals, each appended as small shards and followed by a compaction; a row per document with the shard of the final version that holds it.
 
     doc_id, version, shard (place in the manifest), tier, text_crc32 and n_bytes (0 for null texts, whose
-    checksum is null). Every row of docs is in exactly one shard, repeated rows and null ids included; an empty table has no rows.
+    checksum is null). An arrival is the rows whose hash of doc_id says so. Every row of docs is in exactly one shard,
+    repeated rows and null ids included; an empty table has no rows. Only doc_id and text are stored.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, scratch_path(spark, "shards"))
-    store.append(docs, rows_per_shard)
-    version = store.compact(target, fanout)
-    store.expire()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    version = 0
+    for i in range(arrivals):
+        store.append(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == i), rows_per_shard)
+        version = store.compact(target, fanout)
+        store.expire()
     if not store.manifest(version)[1]:
         return spark.createDataFrame([], "doc_id long, version long, shard int, tier int, text_crc32 long, n_bytes long")
-    rows = store.read(version).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"),
-        F.crc32(F.col("text").cast("string")).alias("text_crc32"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    held = store.read(version).select("doc_id", F.crc32("text").alias("text_crc32"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), file_name().alias("name"))
     # The manifest's size follows the number of files, and the join may broadcast it only under Spark's own size check.
     shards = store.shards(version).select("version", "shard", "tier", F.element_at(F.split("path", "/"), -1).alias("name"))
-    return rows.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(shards, "name").select("doc_id", "version", "shard", "tier", "text_crc32", "n_bytes")
+    return held.join(shards, "name").select("doc_id", "version", "shard", "tier", "text_crc32", "n_bytes")
 
 
 __all__ = ["CommitConflict", "Shard", "ShardStore", "compacted", "drop_path"]

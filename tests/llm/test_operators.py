@@ -417,6 +417,19 @@ def test_compaction(spark, hard, tmp_path):
     assert multiset((r.doc_id, r.text_crc32, r.n_bytes) for r in rows) == want
 
 
+def test_compaction_of_many_arrivals_and_columns_named_like_sparks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}", i, "f") for i in range(300)], "doc_id long, text string, _metadata int, file_name string")
+    store = compaction.ShardStore(spark, str(tmp_path / "s"))
+    for i in range(25):
+        store.append(rows.where(f"doc_id % 25 = {i}"), 3)
+        store.compact(target=1 << 20, fanout=2)
+    assert not store.plan(1 << 20, 2) and len(store.manifest()[1]) < 6
+    assert multiset(store.read().collect()) == multiset(rows.collect())
+    assert sorted(r.doc_id for r in compaction.compacted(rows, 1 << 16, 2, 7).collect()) == list(range(300))
+    with pytest.raises(ValueError):
+        store.compact(fanout=1)
+
+
 # -- 7: divergence
 
 
