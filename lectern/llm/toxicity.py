@@ -27,7 +27,7 @@ from lectern.llm.common import arrow_texts, crc_fold, slices, stored
 
 ORDER, DISCOUNT, CACHE_WORDS = 8, 0.75, 300_000
 #: The most that training reads and keeps: labelled documents, bytes of their texts, distinct grams. Scoring has no such bound.
-MAX_TRAIN, MAX_BYTES, MAX_GRAMS = 20_000, 256 << 20, 4_000_000
+MAX_TRAIN, MAX_BYTES, MAX_GRAMS = 20_000, 256 << 20, 250_000
 EDGE = ".,;:!?\"'()[]{}<>*_-`~|/\\#$%&"
 THRESHOLD = 0.3
 
@@ -202,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     halves = gram_counts(rows)
     models = {h: train(halves[1 - h]) for h in (0, 1)}
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    del models
     schema = pa.schema([("toxic", pa.int32()), ("f0", pa.float64()), ("f1", pa.float64()), ("f2", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     t = rows.select("half", "toxic", "text").mapInArrow(run, "toxic int, f0 double, f1 double, f2 double").toArrow()
     y = t.column("toxic").to_numpy().astype(float)
     x = np.stack([t.column(c).to_numpy() for c in ("f0", "f1", "f2")], 1)
-    whole = dict(halves[0])
-    for k, n in halves[1].items():
+    shared.destroy()
+    whole = halves.pop(0)
+    for k, n in halves.pop(1).items():
         whole[k] = whole.get(k, 0) + n
     model = train(whole)
     model.weights = logistic(x, y)
