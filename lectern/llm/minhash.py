@@ -1,4 +1,4 @@
-"""Near duplicates by exact Jaccard similarity of word shingles (the pipeline's stage).
+"""Pairs of texts by exact Jaccard similarity of word shingles: what a SimHash radius does not reach (see simhash.one_of_each).
 
 1. Where a text is read: the hashes of its shingles; the hash of their set is its node, so that texts with equal
    sets are one node. BANDS keys of ROWS least hashes each. A pair at the limit of 0.8 shares no key
@@ -7,9 +7,8 @@
    similarity of its two shingle sets is at least the limit.
 3. First every node of a bucket is verified against the bucket's smallest node. Then only pairs of a bucket that those links
    left in different components: together all pairs of every bucket, without pairing a large group of copies.
-4. Components of the links; of each one row stays.
 
-A SimHash radius cannot do this: at a similarity of 0.8 two fingerprints differ by 10 bits on average.
+Hashes of sets and rows have 64 bits: among ten thousand million texts three pairs of different ones are expected to share one.
 """
 
 from __future__ import annotations
@@ -24,24 +23,16 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, slices, stored
 from lectern.llm.components import components
+from lectern.llm.shingles import majority, shingle_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 5
 #: Texts whose shingles a task that verifies pairs keeps.
 CACHE_TEXTS = 64
 
 
-def shingles(raw: bytes, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of raw, A-Z lower-cased; a shorter text is one shingle, a blank one none."""
-    parts = raw.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(parts)
-    if len(parts) < words:
-        return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    begins = np.concatenate([[0], ends[:-1]])[: len(parts) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(begins, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of raw."""
+    return np.unique(shingle_hashes(raw, words))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -74,20 +65,22 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def marks(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row (row_key), node and keys of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, row (row_key), node, fp (the SimHash fingerprint) and keys of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = permutations()
         for whole in batches:
             for b in slices(whole, "text"):
-                sets = [shingles(x, words) for x in arrow_bytes(b.column("text"))]
+                hashed = [shingle_hashes(x, words) for x in arrow_bytes(b.column("text"))]
+                sets = [np.unique(h) for h in hashed]
+                fp = np.array([majority(h) for h in hashed], np.uint64).view(np.int64)
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(s, *perms) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(node), keys], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(node), pa.array(fp), keys], schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, row long, node long, keys array<long>")
+    return narrow.mapInArrow(run, "doc_id long, row long, node long, fp long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, limit: float = SIMILARITY) -> DataFrame:
@@ -113,33 +106,24 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, limit: floa
     return pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, seen: DataFrame, words: int = WORDS, limit: float = SIMILARITY) -> DataFrame:
-    """(u, v) of nodes: links that connect all nodes which share a key and are at least limit alike. seen: marks of docs, stored."""
+def links(docs: DataFrame, seen: DataFrame, words: int = WORDS, limit: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
+    """(u, v) of nodes: links that connect all nodes which share a key, or are a pair of more (u, v), and are at least limit alike. seen: marks of docs, stored."""
     keyed = seen.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    met = stored(keyed.join(shared, "key").distinct(), "minhash-buckets")
-    chosen = seen.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    met = stored(keyed.join(stored(shared, "minhash-shared"), "key").distinct(), "minhash-buckets")
+    stars = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    if more is not None:
+        stars = stars.unionByName(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    stars = stored(stars.distinct(), "minhash-stars")
+    wanted = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    chosen = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     texts = docs.select(row_key(docs).alias("row"), F.col("text").cast("string").alias("text")).join(chosen, "row").select("node", "text")
     texts = stored(texts.dropDuplicates(["node"]), "minhash-texts")
-    stars = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
     first = stored(verified(stars, texts, words, limit), "minhash-links")
-    roots = components(first)
-    parts = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = met.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = parts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     groups = stored(parts.join(open_keys, "key", "left_semi").groupBy("key", "root").agg(F.collect_list("node").alias("all")), "minhash-open")
     a, b = groups.toDF("key", "ru", "us"), groups.toDF("key", "rv", "vs")
     across = a.join(b, "key").where("ru < rv").select(F.explode("us").alias("u"), "vs").select("u", F.explode("vs").alias("v"))
     across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return first.unionByName(verified(across, texts, words, limit))
-
-
-def one_of_each(docs: DataFrame, words: int = WORDS, limit: float = SIMILARITY) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (null ids last), then with the smallest hash of its row.
-
-    Texts without words are one component. The rows keep their own columns. Empty table: no rows.
-    """
-    seen = stored(marks(docs, words), "minhash-marks")
-    roots = components(links(docs, seen, words, limit))
-    rows = seen.select("doc_id", "row", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("__row"))
-    return docs.withColumn("__row", row_key(docs)).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)

@@ -20,34 +20,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import minhash
 from lectern.llm.common import arrow_bytes, slices, stored
 from lectern.llm.components import components
+from lectern.llm.shingles import majority, shingle_hashes
 
 RADIUS, PIVOTS, BUCKET, BLOCKS = 2, 16, 32, 4
 
 
 def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of raw, A-Z lower-cased; bytes.lower and bytes.split touch ASCII alone."""
-    parts = raw.lower().split()
-    if not parts:
-        return 0
-    if len(parts) < words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), seed)]
-    else:
-        line = b" ".join(parts)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        begins = np.concatenate([[0], ends[:-1]])[: len(parts) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(begins, (ends[words - 1 :] - 1).tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        h = np.array(hashes[i : i + (1 << 16)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(((2 * ones > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+    """SimHash of the word shingles of raw, A-Z lower-cased."""
+    return majority(shingle_hashes(raw, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -94,7 +80,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, ref
         raise ValueError("the one-bit neighbours are exact for a radius of 2")
     refs = refs or pivots()
     keyed = nodes.select("fp", F.explode(F.array(*block_keys(BLOCKS, radius))).alias("key")).select("fp", "key.t", "key.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join is of two plain tables and Spark can split a crowded bucket's rows.
+    sizes = stored(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     met = stored(keyed.join(sizes, ["t", "k"]), "simhash-buckets")
     small = met.where(F.col("n") <= bucket).select("t", "k", "fp", pivot_row("fp", refs).alias("far"))
     a, b = small.toDF("t", "k", "u", "fu"), small.toDF("t", "k", "v", "fv")
@@ -119,13 +106,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = near_links(nodes.select("fp"))
     roots = components(links.select("u", "v"))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = stored(labelled.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")  # a plain table again
     classes = labelled.join(lows, "root").select("fp", "component_id")
     return fp.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that represent their component: those whose doc_id is its component_id, one row each. Rows with a null doc_id stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def copies(seen: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes whose fingerprints are within the radius, such that they connect all that are. seen: node and fp, in any number of rows."""
+    nodes = seen.select("node", "fp").distinct()
+    fps = stored(nodes.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "simhash-copies")
+    same = nodes.join(fps.where("low <> high"), "fp").where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    a, b = fps.select(F.col("fp").alias("u"), F.col("low").alias("lu")), fps.select(F.col("fp").alias("v"), F.col("low").alias("lv"))
+    near = near_links(fps.select("fp")).join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    return same.unionByName(near)
+
+
+def one_of_each(docs: DataFrame, words: int = minhash.WORDS, limit: float = minhash.SIMILARITY) -> DataFrame:
+    """One row of each component of texts whose sets of word shingles have a Jaccard similarity of limit or more.
+
+    Candidates are the pairs within the fingerprints' radius (copies) and those that share MinHash keys, which a radius of
+    this size does not reach: at a similarity of 0.8 two fingerprints differ by 10 bits on average. A pair of either kind counts only
+    if its exact similarity is high enough. Of a component that row stays that has the smallest doc_id (null ids last), then the
+    smallest hash of its row; rows equal in all columns count once, rows of one doc_id with different texts are treated apart.
+    Texts without words are one component. The rows keep their own columns. Empty table: no rows.
+    """
+    seen = stored(minhash.marks(docs, words), "near-marks")
+    roots = components(minhash.links(docs, seen, words, limit, copies(seen)))
+    rows = seen.select("doc_id", "row", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("__row"))
+    return docs.withColumn("__row", minhash.row_key(docs)).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)

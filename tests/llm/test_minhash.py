@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline as cp
-from lectern.llm import minhash
+from lectern.llm import simhash
 from tests.llm.test_operators import slow_components
 
 SF = "/root/testdata/sf0.01"
@@ -46,11 +46,11 @@ def test_stage_links_a_crowded_family_as_brute_force_does(spark):
             words[at] = f"x{i}_{at}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == slow_kept(rows)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == slow_kept(rows)
 
 
 def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
     long = "a text of some words that has more than five of them"
     rows = [(None, long), (None, long), (None, "other words " * 9), (7, "first text under one id " * 2), (7, "second and wholly unlike passage here now"), (8, long), (9, ""), (9, None)]
-    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, "other words " * 9), (7, rows[3][1]), (7, rows[4][1]), (8, long), (9, "")])
