@@ -2,10 +2,15 @@
 
 A worker splits texts into words by the pattern and looks words up among those it has encoded. The
 new ones of a batch go to an in-process DuckDB as token-position rows (word, place, token). One step of
-the recursive query joins each adjacent pair to the merge table, takes each word's pair of
-least rank, leftmost among equals, and contracts it; words with no pair left stop. Decoding aggregates the
-tokens' bytes in order of place. Both directions are per distinct word, the texts are the
-concatenation. Memory: the word table is emptied when it passes CACHE_WORDS.
+the recursive query joins each adjacent pair to the merge table and contracts each word's pairs of least rank, from the
+left and without overlap; words with no pair left stop. Decoding aggregates the tokens' bytes in order of place. Both
+directions are per distinct word, the texts are the concatenation.
+
+A contraction makes only pairs of higher ranks in a vocabulary whose every token is what its own bytes contract to (which a
+test holds), so taking all places of the least pair in one step is the same as taking them one by one. A query has a bounded number
+of steps. What is not finished then is cut where the two tokens' bytes are in no token of the vocabulary: nothing can
+join across such a place, so the parts are words of their own in the next query, each with its own least pair.
+Memory: a query's rows times its steps are bounded, and the table of words is emptied when it passes CACHE_WORDS.
 """
 
 from __future__ import annotations
@@ -17,36 +22,39 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_texts, slices
 
-CACHE_WORDS, LONG_WORD, CACHE_BYTES, GROUP = 800_000, 256, 64 << 20, 20_000
+CACHE_WORDS, CACHE_BYTES = 800_000, 64 << 20
+#: Words and bytes of one query (a longer word is alone), and the most rows times steps that it holds.
+GROUP, GROUP_BYTES, STEP_ROWS = 20_000, 1 << 18, 4 << 20
 
 #: tok: word, place, token. Rows of a word that still changes are rewritten each step; a word's result is its last step.
-#: A pair's key is rank * 65536 + place, so that its minimum is the least rank and, among equals, the leftmost.
+#: A pair is taken if it stands at an odd place in its run of pairs that could be, so that those taken do not overlap.
 CONTRACT = """
 WITH RECURSIVE steps(step, word, place, token) AS (
     SELECT 0, word, place, token FROM tok
   UNION ALL
-    SELECT step + 1, word, place, CASE WHEN place = best % 65536 THEN best // 65536 ELSE token END
+    SELECT step + 1, word, place, CASE WHEN taken THEN best ELSE token END
     FROM (
-        SELECT p.step, p.word, p.place, p.token, lag(p.place) OVER (PARTITION BY p.word ORDER BY p.place) AS before, b.best
-        FROM steps p
-        JOIN (
-            SELECT word, min(m.token * 65536 + place) AS best
-            FROM (SELECT word, place, token AS l, lead(token) OVER (PARTITION BY word ORDER BY place) AS r FROM steps) q
-            JOIN merges m ON m.l = q.l AND m.r = q.r
-            GROUP BY word
-        ) b ON b.word = p.word
-    )
-    WHERE before IS NULL OR before <> best % 65536
+      SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY place) AS gone
+      FROM (
+        SELECT step, word, place, token, best, made = best AND (n - coalesce(max(CASE WHEN made IS DISTINCT FROM best THEN n END) OVER (PARTITION BY word ORDER BY place), 0)) % 2 = 1 AS taken
+        FROM (
+          SELECT q.step, q.word, q.place, q.token, q.n, m.token AS made, min(m.token) OVER (PARTITION BY q.word) AS best
+          FROM (SELECT step, word, place, token, lead(token) OVER w AS r, row_number() OVER w AS n FROM steps WHERE step < $steps WINDOW w AS (PARTITION BY word ORDER BY place)) q
+          LEFT JOIN merges m ON m.l = q.token AND m.r = q.r
+        ) WHERE best IS NOT NULL
+      )
+    ) WHERE NOT coalesce(gone, false)
 )
+SELECT word, place, token, step FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step) ORDER BY word, place
 """
-LAST = CONTRACT + "SELECT word, place, token FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step)"
 #: Ids and bytes of each word, in order of place.
-DECODE = "SELECT word, list(token ORDER BY place) AS ids, string_agg(bytes, '' ORDER BY place) AS hexed FROM {t} JOIN vocab USING (token) GROUP BY word ORDER BY word"
+DECODE = "SELECT word, list(token ORDER BY place) AS ids, string_agg(bytes, '' ORDER BY place) AS hexed FROM done JOIN vocab USING (token) GROUP BY word ORDER BY word"
 
 
 def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
@@ -65,8 +73,14 @@ class Codec:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
+        self.tokens = {r: t for t, r in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.neighbours = np.zeros((256, 256), bool)  # bytes that follow each other in some token
+        for t in ranks:
+            at = np.frombuffer(t, np.uint8)
+            self.neighbours[at[:-1], at[1:]] = True
+        self.inner: np.ndarray | None = None
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
         m = merge_table(ranks)
         self.db.register("m_in", pa.table({"l": m[:, 0], "r": m[:, 1], "token": m[:, 2]}))
         self.db.register("v_in", pa.table({"token": pa.array(list(ranks.values()), pa.int64()), "bytes": [t.hex() for t in ranks]}))
@@ -77,31 +91,53 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode and decode new distinct words and keep (ids as little-endian 32-bit, decoded bytes)."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        for group in (range(i, min(i + GROUP, len(raw))) for i in range(0, len(raw), GROUP)):
-            n = np.array([len(raw[i]) for i in group])
-            data = np.frombuffer(b"".join(raw[i] for i in group), np.uint8)
-            place = np.arange(len(data)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            self.db.register("tok", pa.table({"word": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": place.astype(np.int32), "token": self.byte_ids[data]}))
-            got = self.db.sql(DECODE.format(t=f"({LAST})")).to_arrow_table() if n.max(initial=0) <= LONG_WORD else self.one_by_one(n, data)
+        ends = np.cumsum([len(r) for r in raw])
+        begin = 0
+        while begin < len(raw):
+            end = max(begin + 1, min(begin + GROUP, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + GROUP_BYTES, "right"))))
+            n = np.array([len(r) for r in raw[begin:end]])
+            data = np.frombuffer(b"".join(raw[begin:end]), np.uint8)
+            word, place, token = self.contract(np.repeat(np.arange(len(n)), n), data)
+            self.db.register("done", pa.table({"word": word, "place": place, "token": token}))
+            got = self.db.execute(DECODE).to_arrow_table()
+            self.db.unregister("done")
             for i, ids, hexed in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), got.column("hexed").to_pylist(), strict=True):
                 pair = (np.array(ids, "<u4").tobytes(), bytes.fromhex(hexed))
                 self.held += len(pair[0]) + len(pair[1])
-                self.known[words[group[i]]] = pair
+                self.known[words[begin + i]] = pair
+            begin = end
+
+    def contract(self, word: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, place, token) of the words' tokens. data: their bytes, word: which each byte is of, ascending."""
+        place, token = np.arange(len(data)), self.byte_ids[data]
+        cut = np.flatnonzero((word[1:] != word[:-1]) | ~self.neighbours[data[:-1], data[1:]]) + 1
+        done = []
+        while len(place):
+            part = np.zeros(len(place), np.int32)
+            part[cut] = 1
+            part = np.cumsum(part, dtype=np.int32)
+            steps = int(max(4, min(64, STEP_ROWS // len(place))))
+            self.db.register("tok", pa.table({"word": part, "place": place.astype(np.int32), "token": token}))
+            got = self.db.execute(CONTRACT, {"steps": steps}).to_arrow_table()
             self.db.unregister("tok")
-
-    def one_by_one(self, n: np.ndarray, data: np.ndarray) -> pa.Table:
-        """For a group with a very long word: a step of the same contraction at a time, in place, so that the state stays one copy of the words."""
-        self.db.execute("CREATE OR REPLACE TABLE state AS SELECT * FROM tok")
-        while True:
-            low = self.db.execute("""
-                CREATE OR REPLACE TABLE low AS
-                SELECT word, min(struct_pack(r := m.token, p := q.place, x := q.next_place)) AS best
-                FROM (SELECT word, place, token AS l, lead(token) OVER w AS r, lead(place) OVER w AS next_place FROM state WINDOW w AS (PARTITION BY word ORDER BY place)) q
-                JOIN merges m ON m.l = q.l AND m.r = q.r GROUP BY word""").fetchone()[0]
-            if not low:
-                break
-            self.db.execute("DELETE FROM state USING low WHERE state.word = low.word AND state.place = low.best.x; UPDATE state SET token = low.best.r FROM low WHERE state.word = low.word AND state.place = low.best.p")
-        return self.db.sql(DECODE.format(t="state")).to_arrow_table()
+            part, place, token, step = (got.column(c).to_numpy() for c in ("word", "place", "token", "step"))
+            rest = step == steps
+            done.append((place[~rest], token[~rest]))
+            part, place, token = part[rest], place[rest].astype(np.int64), token[rest]
+            cut = np.flatnonzero((part[1:] != part[:-1]) | ~self.joinable(token[:-1], token[1:])) + 1
+        place, token = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return word[place], place, token
+
+    def joinable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the bytes of the two tokens follow each other in any token. Compared by 64-bit hashes: a chance hit only delays a cut."""
+        if not len(left):
+            return np.zeros(0, bool)
+        if self.inner is None:
+            self.inner = np.unique(np.fromiter((xxhash.xxh64_intdigest(t[i:j]) for t in self.tokens.values() for i in range(len(t)) for j in range(i + 2, len(t) + 1)), np.uint64))
+        tokens = self.tokens
+        want = np.fromiter((xxhash.xxh64_intdigest(tokens[a] + tokens[b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)), np.uint64, len(left))
+        at = np.minimum(np.searchsorted(self.inner, want), len(self.inner) - 1)
+        return self.inner[at] == want
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of each text."""

@@ -410,6 +410,28 @@ def test_bpe_forgets_and_relearns(monkeypatch):
         assert [(np.array(encode(t), "<u4").tobytes(), t.encode())] == c.encode([t])
 
 
+def test_every_token_is_what_its_bytes_contract_to():
+    """What lets a step take all places of the least pair: with the ranks below its own, each token's bytes contract to two parts."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            low, at = min((ranks.get(a + b, rank), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
+            assert low < rank
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+@pytest.mark.parametrize("kind", ["letters", "base64", "cjk", "one"])
+def test_bpe_of_words_of_100_kb(kind):
+    rng = np.random.default_rng(4)
+    word = {"letters": "".join(chr(97 + x) for x in rng.integers(0, 26, 100_000)), "base64": base64.b64encode(rng.bytes(75_000)).decode().translate(str.maketrans("+/=0123456789", "abcdefghijklm")), "cjk": "".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 34_000)), "one": "=" * 100_001}[kind]
+    c, begun = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), time.perf_counter()
+    assert len(c.split(word)) == 1
+    (ids, decoded), took = c.encode([word])[0], time.perf_counter() - begun
+    assert decoded == word.encode() and np.frombuffer(ids, "<u4").tolist() == ids_of()(word) and took < 60
+
+
 # -- 6: compaction
 
 
