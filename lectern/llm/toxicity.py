@@ -13,7 +13,7 @@ at most MAX_GRAMS grams, the most frequent: so what is broadcast and the model h
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nlargest
@@ -66,11 +66,10 @@ class KneserNey:
             self.of[c][g] = self.of[c].get(g, 0) + n
         self.types = {g for d in self.of for g in d}
         # A gram's continuation count is in how many distinct characters to its left it, or a longer gram's end, is met, over both classes.
-        ends = {g[i:] for g in self.types for i in range(len(g))}
-        self.left: dict[str, int] = defaultdict(int)
-        for g in ends:
-            if len(g) > 1:
-                self.left[g[1:]] += 1
+        ends, level = set(self.types), self.types
+        while level := {g[1:] for g in level if len(g) > 1}:
+            ends |= level
+        self.left = Counter(g[1:] for g in ends if len(g) > 1)
         self.left_total, self.left_kinds = defaultdict(int), defaultdict(int)
         for g, n in self.left.items():
             self.left_total[g[:-1]] += n
@@ -81,6 +80,8 @@ class KneserNey:
                 self.total[c][g[:-1]] += n
                 self.kinds[c][g[:-1]] += 1
         self.memo: dict[str, float] = {}
+        for g in sorted(self.left, key=len):  # shorter ones first, so that none goes down further than one step
+            self.shared(g)
 
     def shared(self, gram: str) -> float:
         """The backoff probability of gram's last character after the others; the alphabet has one place for characters never met."""
