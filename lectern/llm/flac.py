@@ -4,6 +4,8 @@ Format (RFC 9639): fLaC, STREAMINFO, SEEKTABLE, then frames of one block size. A
 verbatim, a fixed or an adaptive linear predictor with Rice-coded residuals. Both directions work on a
 matrix with a row per frame: step t treats sample t of all frames at once, so Python's cost is per
 batch and not per sample. Memory is bounded by the batch, which slices() holds to a few MB of text.
+Streams are read block by block from the places that their seek table gives. Streams of other encoders (several channels, other depths
+and block sizes, escaped or wide residuals) are read sample by sample by read_stream().
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,15 @@ CHUNK = 4096  # frames treated at once, whatever the documents' lengths
 #: Fixed values of the format: predictors of order 0 to 4 as coefficients of earlier samples.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 LPC_PRECISION, LPC_SHIFT = 12, 9
+LPC_ORDER = 3  # of the adaptive predictor that each frame tries in production
 
 
 class FlacError(ValueError):
-    """A stream that is not valid, or uses more of the format than this reader."""
+    """A stream that is not valid."""
+
+
+class OtherProfile(FlacError):
+    """A stream that uses more of the format than the reader in step: read_stream() reads it."""
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -216,79 +224,268 @@ def _encode_frames(x: np.ndarray, number: np.ndarray, lpc_order: int) -> tuple[n
     return out, size
 
 
-def _metadata(media: bytes) -> tuple[int, int, bytes, int]:
-    """Samples, byte place of the first frame, MD5 of the samples, block size."""
+@dataclass
+class Head:
+    """What stands before the frames: STREAMINFO, the byte place of the first frame, and seek points (sample, bytes after the first frame's place)."""
+
+    min_block: int
+    max_block: int
+    rate: int
+    channels: int
+    bits: int
+    samples: int
+    md5: bytes
+    start: int
+    points: list[tuple[int, int]]
+
+    @property
+    def own(self) -> bool:
+        """Whether it is of the profile that encode() writes."""
+        return self.min_block == self.max_block == BLOCK and self.channels == 1 and self.bits == 8 and self.samples > 0 and self.samples % BLOCK == 0
+
+
+def metadata(media: bytes) -> Head:
     if media[:4] != b"fLaC":
         raise FlacError("no FLAC stream")
-    at, info = 4, None
+    at, info, points = 4, None, []
     while True:
         if at + 4 > len(media):
             raise FlacError("cut off in its metadata")
         kind, n = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
+        body = media[at + 4 : at + 4 + n]
         if kind & 0x7F == 0:
-            info = media[at + 4 : at + 4 + n]
+            info = body
+        elif kind & 0x7F == 3:
+            points = [struct.unpack_from(">QQ", body, i) for i in range(0, n - n % 18, 18)]
         at += 4 + n
         if kind & 0x80:
             break
     if info is None or len(info) < 34:
         raise FlacError("no STREAMINFO")
     rest = int.from_bytes(info[10:18], "big")
-    if info[:2] != info[2:4] or (rest >> 41) & 7 or (rest >> 36) & 31 != 7:
-        raise FlacError("only mono streams of 8 bits and one block size are read")
-    return rest & ((1 << 36) - 1), at, info[18:34], int.from_bytes(info[:2], "big")
+    points = [p for p in points if p[0] != (1 << 64) - 1]  # places kept free
+    return Head(int.from_bytes(info[:2], "big"), int.from_bytes(info[2:4], "big"), rest >> 44, (rest >> 41 & 7) + 1, (rest >> 36 & 31) + 1, rest & ((1 << 36) - 1), info[18:34], at, points)
+
 
+def seek_ranges(media: bytes, head: Head) -> list[tuple[int, int, int, int]]:
+    """(first sample, end sample, first byte, end byte) from each seek point to the next; the whole stream where there is none at its begin."""
+    points = sorted({p for p in head.points if p[0] < head.samples})
+    if not points or points[0] != (0, 0) or any(p[0] % BLOCK for p in points):
+        points = [(0, 0)]
+    ends = [*points[1:], (head.samples, len(media) - head.start)]
+    return [(a[0], b[0], head.start + a[1], head.start + b[1]) for a, b in zip(points, ends, strict=True)]
 
-def _frames(media: bytes, at: int, count: int) -> np.ndarray:
-    """Starts of the frames 0 to count - 1 and the end: sync codes with a valid header checksum and the number that is due."""
-    data = np.frombuffer(media, np.uint8)
-    hits = at + np.flatnonzero((data[at:-6] == 0xFF) & (data[at + 1 : -5] == 0xF8) & (data[at + 2 : -4] == 0x10) & (data[at + 3 : -3] == 0x02))
+
+def _frames(media: bytes, first: int, count: int, at: int, end: int) -> np.ndarray:
+    """Starts of count frames from number first on between two places, and the end: sync codes with a valid header checksum and the number that is due."""
+    if end > len(media) or end - at < 7:
+        raise FlacError("a seek point leads out of the stream")
+    data = np.frombuffer(media, np.uint8, end - at, at)
+    hits = np.flatnonzero((data[:-6] == 0xFF) & (data[1:-5] == 0xF8) & (data[2:-4] == 0x10) & (data[3:-3] == 0x02))
     lead = data[hits + 4].astype(np.int64)
     n = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC], [1, 2, 3, 4, 5], 6)
-    fits = hits + 5 + n <= len(media)
+    fits = hits + 5 + n <= len(data)
     hits, lead, n = hits[fits], lead[fits], n[fits]
     number = np.where(n == 1, lead, lead & ((1 << np.maximum(7 - n, 0)) - 1))
     for j in range(1, 6):
         number = np.where(j < n, number << 6 | data[np.minimum(hits + 4 + j, len(data) - 1)] & 0x3F, number)
     good = _crcs(data, hits, 4 + n, 8) == data[hits + 4 + n]
     hits, number = hits[good], number[good]
-    if len(number) != count or (number != np.arange(count)).any():
-        due, keep = 0, []
+    if len(number) != count or (number != np.arange(first, first + count)).any():
+        due, keep = first, []
         for h, v in zip(hits.tolist(), number.tolist(), strict=True):
-            if v == due:
+            if v == due and due < first + count:
                 keep.append(h)
                 due += 1
         hits = np.array(keep, np.int64)
-        if due != count:
-            raise FlacError(f"{due} of {count} frames found")
-    return np.append(hits, len(media))
+        if due != first + count:
+            raise OtherProfile(f"{due - first} of {count} frames found")
+    return np.append(hits, len(data)) + at
 
 
-def decode(media: list[bytes], verify_md5: bool = True) -> list[bytes]:
-    """The payloads of streams as encode() writes them. Frame checksums, and the whole's MD5, are verified; FlacError if one is wrong."""
-    heads = [_metadata(m) for m in media]
-    if any(h[3] != BLOCK or h[0] % BLOCK for h in heads):
-        raise FlacError(f"only blocks of {BLOCK} samples are read")
+def _in_step(media: list[bytes], ranges: list[list[tuple[int, int, int, int]]]) -> list[list[tuple[int, bytes]]]:
+    """(first sample, payload bytes) of the given ranges of each stream, all frames treated together."""
     starts, ends, base = [], [], 0
-    for m, (samples, at, _, _) in zip(media, heads, strict=True):
-        f = _frames(m, at, samples // BLOCK) + base
-        starts.append(f[:-1])
-        ends.append(f[1:])
+    for m, of in zip(media, ranges, strict=True):
+        for first, end, at, stop in of:
+            f = _frames(m, first // BLOCK, (end - first) // BLOCK, at, stop) + base
+            starts.append(f[:-1])
+            ends.append(f[1:])
         base += len(m)
     s, e = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (starts, ends))
     if not len(s):
-        return [b"" for _ in media]
+        return [[] for _ in media]
     data = np.frombuffer(b"".join(media) + bytes(16), np.uint8)
     out = np.concatenate([_decode_frames(data[s[i] : e[min(i + CHUNK, len(s)) - 1] + 16], s[i : i + CHUNK] - s[i], e[i : i + CHUNK] - s[i]) for i in range(0, len(s), CHUNK)])
-    done, at = [], 0
-    for m, (samples, _, md5, _) in zip(media, heads, strict=True):
-        payload = out[at : at + samples // BLOCK].tobytes()
-        at += samples // BLOCK
-        if verify_md5 and hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != md5:
+    done, row = [], 0
+    for of in ranges:
+        blocks = []
+        for first, end, _, _ in of:
+            n = (end - first) // BLOCK
+            blocks.append((first, out[row : row + n].tobytes()))
+            row += n
+        done.append(blocks)
+    return done
+
+
+def _bytes_of(media: bytes) -> bytes:
+    """The payload of a stream of another profile with one channel of 8 bits."""
+    channels, _, bits = read_stream(media)
+    if len(channels) != 1 or bits != 8:
+        raise FlacError("the samples are not one byte each: use read_stream")
+    return (channels[0] + 128).astype(np.uint8).tobytes()
+
+
+def decode_blocks(media: list[bytes], verify_md5: bool = True) -> list[list[tuple[int, bytes]]]:
+    """(sample offset, payload bytes) of each stream's blocks, each read from its own seek point on.
+
+    Frame checksums, and the whole's MD5, are verified; FlacError if one is wrong.
+    """
+    heads = [metadata(m) for m in media]
+    try:
+        if not all(h.own for h in heads):
+            raise OtherProfile("another block size, depth or number of channels")
+        done = _in_step(media, [seek_ranges(m, h) for m, h in zip(media, heads, strict=True)])
+    except OtherProfile:
+        if len(media) > 1:
+            return [decode_blocks([m], verify_md5)[0] for m in media]
+        return [[(0, _bytes_of(media[0]))]]
+    for blocks, h in zip(done, heads, strict=True):
+        if verify_md5 and hashlib.md5((np.frombuffer(b"".join([p for _, p in blocks]), np.uint8) ^ 0x80).tobytes()).digest() != h.md5:
             raise FlacError("the samples' MD5 is wrong")
-        done.append(payload)
     return done
 
 
+def decode(media: list[bytes], verify_md5: bool = True) -> list[bytes]:
+    """The payloads of streams with one channel of 8 bits."""
+    return [b"".join([p for _, p in blocks]) for blocks in decode_blocks(media, verify_md5)]
+
+
+def samples_at(media: bytes, first: int, n: int) -> bytes:
+    """n payload bytes from sample first on, reading no more than the seek ranges that hold them."""
+    head = metadata(media)
+    if not head.own:
+        return _bytes_of(media)[first : first + n]
+    ranges = [r for r in seek_ranges(media, head) if r[0] < first + n and r[1] > first]
+    blocks = _in_step([media], [ranges])[0]
+    return b"".join([p for _, p in blocks])[first - blocks[0][0] :][:n] if blocks else b""
+
+
+class _Bits:
+    """Big-endian bits of a stretch of bytes."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.bit = data, 8 * at
+
+    def take(self, n: int) -> int:
+        if self.bit + n > 8 * len(self.data):
+            raise FlacError("cut off in a frame")
+        at, end = self.bit >> 3, (self.bit + n + 7) >> 3
+        v = int.from_bytes(self.data[at:end], "big") >> (8 * end - self.bit - n) & ((1 << n) - 1)
+        self.bit += n
+        return v
+
+    def signed(self, n: int) -> int:
+        v = self.take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def zeros(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def _residual(bits: _Bits, order: int, block: int) -> list[int]:
+    wide = {0: 4, 1: 5}.get(bits.take(2))
+    if wide is None:
+        raise FlacError("a reserved residual coding")
+    parts = 1 << bits.take(4)
+    if block % parts or block // parts < order:
+        raise FlacError("a partition order does not fit")
+    out: list[int] = []
+    for i in range(parts):
+        k, n = bits.take(wide), block // parts - (order if not i else 0)
+        if k == (1 << wide) - 1:
+            depth = bits.take(5)
+            out += [bits.signed(depth) for _ in range(n)]
+        else:
+            for _ in range(n):
+                zz = bits.zeros() << k | bits.take(k)
+                out.append(zz >> 1 ^ -(zz & 1))
+    return out
+
+
+def _subframe(bits: _Bits, depth: int, block: int) -> np.ndarray:
+    if bits.take(1):
+        raise FlacError("no subframe")
+    kind, wasted = bits.take(6), 0
+    if bits.take(1):
+        wasted = bits.zeros() + 1
+    depth -= wasted
+    if kind == 0:
+        x = [bits.signed(depth)] * block
+    elif kind == 1:
+        x = [bits.signed(depth) for _ in range(block)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        x = [bits.signed(depth) for _ in range(order)]
+        coef, shift = FIXED[order] if kind < 32 else (), 0
+        if kind >= 32:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise FlacError("a reserved precision or shift")
+            coef = [bits.signed(precision) for _ in range(order)]
+        for r in _residual(bits, order, block):
+            x.append(r + (sum(c * x[-1 - j] for j, c in enumerate(coef)) >> shift))
+    else:
+        raise FlacError("a reserved subframe type")
+    return np.array(x, np.int64) << wasted
+
+
+def read_stream(media: bytes) -> tuple[list[np.ndarray], int, int]:
+    """Samples of each channel, rate and depth of any stream of the format, frame by frame. FlacError if a checksum is wrong or it is cut off."""
+    head = metadata(media)
+    at, blocks, data = head.start, [], np.frombuffer(media, np.uint8)
+    crc = lambda a, b, n: int(_crcs(data, np.array([a]), np.array([b - a]), n)[0])
+    while at < len(media) and (not head.samples or sum(len(b[0]) for b in blocks) < head.samples):
+        bits = _Bits(media, at)
+        if bits.take(15) != 0x7FFC:
+            raise FlacError("no frame where one is due")
+        bits.take(1)  # blocking strategy: numbers of frames or of samples
+        size, rate, assigned, depth = bits.take(4), bits.take(4), bits.take(4), {0: head.bits, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}.get(bits.take(3))
+        if bits.take(1) or assigned > 10 or depth is None or not size:
+            raise FlacError("a reserved value in a frame's header")
+        lead = bits.take(8)
+        bits.take(8 * (0 if lead < 0x80 else next(n for n in range(1, 8) if not lead & (0x40 >> n) or n == 7)))
+        block = bits.take(8) + 1 if size == 6 else bits.take(16) + 1 if size == 7 else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+        bits.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+        if crc(at, bits.bit >> 3, 8) != bits.take(8):
+            raise FlacError("a frame header's checksum is wrong")
+        side = {8: 1, 9: 0, 10: 1}.get(assigned)
+        x = [_subframe(bits, depth + (c == side), block) for c in range(2 if assigned > 7 else assigned + 1)]
+        if assigned == 8:
+            x[1] = x[0] - x[1]
+        elif assigned == 9:
+            x[0] = x[0] + x[1]
+        elif assigned == 10:
+            mid = x[0] << 1 | x[1] & 1
+            x = [(mid + x[1]) >> 1, (mid - x[1]) >> 1]
+        end = (bits.bit + 7) >> 3
+        if end + 2 > len(media) or crc(at, end, 16) != int.from_bytes(media[end : end + 2], "big"):
+            raise FlacError("a frame's checksum is wrong")
+        blocks.append(x)
+        at = end + 2
+    channels = [np.concatenate([b[c] for b in blocks]) if blocks else np.zeros(0, np.int64) for c in range(head.channels)]
+    if head.samples and len(channels[0]) != head.samples:
+        raise FlacError("the stream has other samples than it states")
+    width = (head.bits + 7) // 8
+    raw = np.stack(channels, 1).astype("<i8").reshape(-1, 1).view(np.uint8)[:, :width].tobytes() if blocks else b""
+    if any(head.md5) and hashlib.md5(raw).digest() != head.md5:
+        raise FlacError("the samples' MD5 is wrong")
+    return channels, head.rate, head.bits
+
+
 def _decode_frames(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Payload bytes, a row a frame, of the frames from s to e. 16 bytes that do not matter follow the last."""
     if (_crcs(data, s, e - s - 2, 16) != (data[e - 2].astype(np.uint16) << 8 | data[e - 1])).any():
@@ -331,8 +528,10 @@ def _predicted(wide: np.ndarray, bit: np.ndarray, kind: int) -> np.ndarray:
     else:
         v = peek(9)
         precision, shift = int(v[0] >> 5) + 1, v & 31
+        if (v & 16).any() or precision == 16:
+            raise FlacError("a reserved precision or shift")
         if ((v >> 5) + 1 != precision).any():
-            raise FlacError("frames of one order differ in precision")
+            raise OtherProfile("frames of one order differ in precision")
         bit, coef = bit + 9, []
         for _ in range(order):
             v = peek(precision)
@@ -341,7 +540,7 @@ def _predicted(wide: np.ndarray, bit: np.ndarray, kind: int) -> np.ndarray:
     v = peek(6)
     bit = bit + 6
     if (v >> 4).any():
-        raise FlacError("only residuals with parameters of 4 bits are read")
+        raise OtherProfile("residuals with parameters of 5 bits")
     parts = np.int64(1) << (v & 15)
     each = BLOCK // parts
     if (each * parts != BLOCK).any() or (each < order).any():
@@ -354,7 +553,7 @@ def _predicted(wide: np.ndarray, bit: np.ndarray, kind: int) -> np.ndarray:
             k[due] = ((wide[b >> 3] << (b & 7).astype(np.uint64)) >> np.uint64(60)).astype(np.int64)
             bit[due] = b + 4
             if (k[due] == 15).any():
-                raise FlacError("an escaped partition")
+                raise OtherProfile("an escaped partition")
         w = wide[bit >> 3] << (bit & 7).astype(np.uint64)  # the top 57 bits are valid
         lead = 53 - np.frexp((w >> np.uint64(11)).astype(np.float64))[1].astype(np.int64)
         if int(lead.max()) + int(k.max()) > 55:
@@ -385,7 +584,7 @@ def padded(raw: bytes) -> bytes:
     return raw + b" " * ((-len(raw)) % BLOCK or (BLOCK if not raw else 0))
 
 
-def store_flac(docs: DataFrame, lpc_order: int = 0) -> DataFrame:
+def store_flac(docs: DataFrame, lpc_order: int = LPC_ORDER) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8 bytes, padded, as a FLAC stream.
 
     Null and empty texts are 192 spaces; repeated rows come repeatedly; other columns are ignored.
@@ -401,24 +600,27 @@ def store_flac(docs: DataFrame, lpc_order: int = 0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, samples_per_block: int = 65536) -> DataFrame:
+def pcm_blocks(media: DataFrame, samples_per_block: int = 10 * SEEK_EVERY * BLOCK) -> DataFrame:
     """Decode media into PCM blocks: doc_id, block, sample_offset (seek here), n_samples, pcm (unsigned 8-bit).
 
-    A null or broken stream fails with FlacError: nothing is passed over.
+    By default a block begins at each tenth seek point. A null or broken stream fails with FlacError: nothing is passed over.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "media", 2 << 20):
-                rows = [(d, i // samples_per_block, i, len(p[i : i + samples_per_block]), p[i : i + samples_per_block]) for d, p in zip(b.column("doc_id").to_pylist(), decode([m or b"" for m in b.column("media").to_pylist()]), strict=True) for i in range(0, len(p), samples_per_block)]
+                rows = []
+                for d, blocks in zip(b.column("doc_id").to_pylist(), decode_blocks([m or b"" for m in b.column("media").to_pylist()]), strict=True):
+                    p = b"".join([x for _, x in blocks])
+                    rows += [(d, i // samples_per_block, i, len(p[i : i + samples_per_block]), p[i : i + samples_per_block]) for i in range(0, len(p), samples_per_block)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples long, pcm binary")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Read each stream back and describe it: the decoded payload's size and checksums, the stored form's, and a feature string."""
+    """Read each stream back, block by block from its seek points, and describe it: the decoded payload's size and checksums, the stored form's, and a feature string."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,10 +628,11 @@ def media_digest(media: DataFrame) -> DataFrame:
             for b in slices(whole, "media", 2 << 20):
                 media = b.column("media").to_pylist()
                 cols: list[list] = [[] for _ in range(6)]
-                for m, p in zip(media, decode(media), strict=True):
+                for m, blocks in zip(media, decode_blocks(media), strict=True):
+                    p = b"".join([x for _, x in blocks])
                     v = np.frombuffer(p, np.uint8).astype(np.int64) - 128
                     cross = int(np.count_nonzero(np.diff(v < np.int64(v.mean()))))
-                    feature = f"frames={len(p) // BLOCK};peak={int(np.abs(v).max())};energy={int((v * v).sum())};crossings={cross}"
+                    feature = f"frames={len(p) // BLOCK};blocks={len(blocks)};peak={int(np.abs(v).max())};energy={int((v * v).sum())};crossings={cross}"
                     for to, y in zip(cols, (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature), strict=True):
                         to.append(y)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, schema.types[2:], strict=True))], schema=schema)

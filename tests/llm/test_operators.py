@@ -200,6 +200,45 @@ def test_flac_round_trip_and_damage():
         flac.decode([b"RIFF"])
 
 
+#: The example streams of RFC 9639, appendix D (stereo of one sample; stereo with tags and a seek table; an adaptive predictor).
+RFC_1 = "664c6143 80000022 10001000 00000f00 000f0ac4 42f00000 00013e84 b41807dc 69030758 6a3dad1a 2e0ffff8 69180000 bf0358fd 03128baa 9a"
+RFC_3 = "664c6143 80000022 10001000 00001f00 001f07d0 00700000 0018f8f9 e396f5cb cfc6dc80 7f997790 6b32fff8 68020017 e944004f 6f313d10 47d227cb 6d090831 452bdc28 22228057 a3"
+
+
+def test_streams_of_the_formats_own_examples():
+    left, right = flac.read_stream(bytes.fromhex(RFC_1))[0]
+    assert (left.tolist(), right.tolist()) == ([25588], [10416])
+    (mono,), rate, bits = flac.read_stream(bytes.fromhex(RFC_3))  # its MD5 is verified
+    assert (len(mono), rate, bits) == (24, 32000, 8) and flac.decode([bytes.fromhex(RFC_3)]) == [(mono + 128).astype(np.uint8).tobytes()]
+    bad = bytearray(bytes.fromhex(RFC_3))
+    bad[-3] ^= 4
+    with pytest.raises(flac.FlacError):
+        flac.read_stream(bytes(bad))
+
+
+def test_both_readers_agree_and_seeking_reads_one_range(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    text = b"some words of plain text, and then some more of them. " * 700
+    cases = [flac.padded(text), bytes(rng.integers(0, 256, 192 * 40, dtype=np.uint8)), bytes((np.sin(np.arange(192 * 70) / 11) * 90 + 128).astype(np.uint8))]
+    for order in (0, 2, 8):
+        for payload, media in zip(cases, flac.encode(cases, order), strict=True):
+            assert (flac.read_stream(media)[0][0] + 128).astype(np.uint8).tobytes() == payload
+            ranges = flac.seek_ranges(media, flac.metadata(media))
+            assert [r[0] for r in ranges] == list(range(0, len(payload), 192 * flac.SEEK_EVERY)) and len(ranges) > 1
+            damaged = bytearray(media)
+            damaged[ranges[0][2] + 40] ^= 1  # in the first range
+            for first, n in ((len(payload) - 16, 16), (192 * flac.SEEK_EVERY + 5, 300)):
+                assert flac.samples_at(bytes(damaged), first, n) == payload[first : first + n]
+            with pytest.raises(flac.FlacError):
+                flac.decode([bytes(damaged)])
+            assert flac.decode([media.replace(b"\x83", b"\x81", 1)]) == [payload]  # no seek table: read from its begin
+    texts = [flac.padded((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    kinds, seen = flac.encode(texts, flac.LPC_ORDER), []
+    monkeypatch.setattr(flac, "_predicted", lambda wide, bit, kind, f=flac._predicted: seen.append(kind) or f(wide, bit, kind))
+    assert flac.decode(kinds) == texts
+    assert max(seen) >= 32  # adaptive predictors are written and read in production
+
+
 def test_flac_rows(hard):
     media = flac.store_flac(hard)
     got = {r.doc_id: r for r in flac.media_digest(media).collect()}
