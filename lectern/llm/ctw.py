@@ -10,8 +10,9 @@ never saw falls back on its longest seen suffix.
 Nothing is cut off, at any size: every window of the corpus is counted and every one gets its exact probability.
 1. Each task sorts its windows of DEPTH + 1 bytes and sends distinct ones with their counts: what is gathered grows with the corpus.
 2. The tree is grown where its windows are. Windows with the same last TOP context bytes are a block; the nodes of depth TOP
-   and deeper are in one block each, and blocks are dealt by a hash. Above, Spark adds up children; at most 65,280 nodes of
-   depth 1 reach the driver, and as many go back, whatever the corpus.
+   and deeper are in one block each, and blocks are dealt by a hash. A block with more than HEAVY of all windows is split by one
+   more context byte. Above, Spark adds up children; at most 65,280 nodes of depth 1, and 255 of depth 2 for each of at
+   most 1 / HEAVY split blocks, reach the driver, and as many go back, whatever the corpus.
 3. A second pass over the blocks gives each distinct window its log-probability.
 4. Texts are scored where they are read. Windows with at least WINDOW_SHARE of all are looked up in a broadcast of at most
    1 / WINDOW_SHARE entries of 16 bytes; the others, once a text with their count, are joined. Both give the same numbers.
@@ -28,12 +29,12 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 5, 2, 1 << 20, 400_000, 21, 300_000
+DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 6, 2, 1 << 20, 400_000, 21, 300_000
 END = b"\n"
 
 
@@ -201,11 +202,11 @@ def grow(grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> Tree:
 
 @dataclass
 class Crown:
-    """The tree's nodes above depth TOP, by depth and bit, and for each bit what descend() needs of the lowest of them."""
+    """The tree's nodes above the blocks, by depth and bit, and for each bit what descend() needs of the lowest of them: depths 0 and 1, and depth 2 of the split blocks."""
 
     keys: list[list[np.ndarray]]
     ones: list[list[np.ndarray]]
-    past: list[tuple[np.ndarray, ...]]
+    past: list[list[tuple[np.ndarray, ...]]]  # by depth from TOP - 1 on, then bit
 
 
 @dataclass
@@ -278,6 +279,8 @@ COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()),
 WORD, WINDOW = 0, 1
 #: A word or window with at least this share of all is looked up in the broadcast, which so has at most 1 / share entries of it.
 HEAD_SHARE, WINDOW_SHARE = 5e-7, 1e-7
+#: A block with over this share of the distinct windows is split.
+HEAVY = 1 / 500
 
 
 def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10) -> DataFrame:
@@ -324,10 +327,23 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
     return rows.mapInArrow(run, "kind byte, key long, n long, a long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
 
 
-def in_blocks(grams: DataFrame, columns: list[str]) -> DataFrame:
-    """The windows (key), those with the same last TOP context bytes together, and sorted so that they follow each other."""
-    block = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
-    return grams.select(block.alias("block"), "key", *columns).repartition("block").sortWithinPartitions("block")
+def block_of(bytes_kept: int) -> Column:
+    """The last context bytes of a window (key)."""
+    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * bytes_kept) - 1))
+
+
+def heavy_blocks(grams: DataFrame, share: float = HEAVY) -> list[int]:
+    """Blocks with over share of the distinct windows: fewer than 1 / share."""
+    sizes = grams.groupBy(block_of(TOP).alias("block")).agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum("n")).first()[0] or 0
+    return sorted(r["block"] for r in sizes.where(F.col("n") > F.lit(share * whole)).collect())
+
+
+def in_blocks(grams: DataFrame, heavy: list[int], split: bool, columns: list[str]) -> DataFrame:
+    """The windows (key) of the heavy or of the other blocks, those of one block together (heavy ones by one byte more), sorted so that they follow each other."""
+    chosen = block_of(TOP).isin(heavy) if heavy else F.lit(False)
+    rows = grams.where(chosen if split else ~chosen)
+    return rows.select(block_of(TOP + split).alias("block"), "key", *columns).repartition("block").sortWithinPartitions("block")
 
 
 def runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = RUN) -> Iterator[list[np.ndarray]]:
@@ -353,67 +369,87 @@ def runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = RUN)
 NODES = pa.schema([("bit", pa.int8()), ("key", pa.int64()), ("weighted", pa.float64()), ("zeros", pa.int64()), ("ones", pa.int64())])
 
 
-def grow_crown(grams: DataFrame, depth: int = DEPTH) -> Crown:
-    """The nodes above the blocks. grams: key, n of all training windows."""
+def children(grams: DataFrame, heavy: list[int], split: bool, depth: int) -> list[np.ndarray]:
+    """bit, key, and the children's log-probability, zeros and ones of the nodes right above the (heavy or other) blocks."""
+    top = TOP + split
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in runs(batches, ["key", "n"]):
             for k in range(8):
-                at, weighted, zeros, ones = climb(key.view(np.uint64), n, k, depth, TOP)[1]
+                at, weighted, zeros, ones = climb(key.view(np.uint64), n, k, depth, top)[1]
                 for i in range(0, len(at), 1 << 18):
                     part = slice(i, i + (1 << 18))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[part]), k, np.int8)), pa.array(at[part].view(np.int64)), pa.array(weighted[part]), pa.array(zeros[part]), pa.array(ones[part])], schema=NODES)
 
-    nodes = in_blocks(grams.where("n > 0"), ["n"]).mapInArrow(run, "bit byte, key long, weighted double, zeros long, ones long")
-    # Decimals add up alike in any order. A context byte and the decisions before the bit: 65,280 nodes at most.
-    up = F.col("key").bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("key")
+    nodes = in_blocks(grams.where("n > 0"), heavy, split, ["n"]).mapInArrow(run, "bit byte, key long, weighted double, zeros long, ones long")
+    # Decimals add up alike in any order.
+    up = F.col("key").bitwiseAND(F.lit((1 << 8 * top) - 1)).alias("key")
     t = nodes.groupBy("bit", up).agg(F.sum(F.col("weighted").cast("decimal(28,6)")).cast("double").alias("weighted"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    bit, key, deeper, zeros, ones = (t.column(c).to_numpy() for c in ("bit", "key", "weighted", "zeros", "ones"))
-    out = Crown([[] for _ in range(TOP)], [[] for _ in range(TOP)], [])
+    return [t.column(c).to_numpy() for c in ("bit", "key", "weighted", "zeros", "ones")]
+
+
+def _level(columns: list[np.ndarray], depth: int) -> tuple[tuple[np.ndarray, ...], list[np.ndarray]]:
+    """(key, estimate, stop) of the nodes of a depth by (key, deeper, zeros, ones) of parts of them, in any order; and (key, weighted, zeros, ones)."""
+    key = columns[0] & np.uint64((1 << 8 * (depth + 1)) - 1)
+    order = np.argsort(key, kind="stable")
+    e = edges(key[order])
+    deeper, zeros, ones = [np.add.reduceat(x[order], e) if len(e) else x for x in columns[1:]]
+    weighted, kt, stop = weigh(zeros, ones, deeper)
+    return (key[order][e], kt, stop), [key[order][e], weighted, zeros, ones]
+
+
+def grow_crown(grams: DataFrame, heavy: list[int], depth: int = DEPTH) -> Crown:
+    """The nodes above the blocks. grams: key, n of all training windows."""
+    light = children(grams, heavy, False, depth)
+    split = children(grams, heavy, True, depth) if heavy else [x[:0] for x in light]
+    out = Crown([[] for _ in range(TOP + 1)], [[] for _ in range(TOP + 1)], [[], []])
     for k in range(8):
-        here = np.flatnonzero(bit == k)
-        here = here[np.argsort(key[here])]
-        below = (key[here].view(np.uint64), deeper[here], zeros[here], ones[here])
+        of = lambda columns: [columns[1][columns[0] == k].view(np.uint64), *(x[columns[0] == k] for x in columns[2:])]  # noqa: B023, E731
+        lowest, below = _level(of(split), TOP)
+        below = [np.concatenate(x) for x in zip(of(light), below, strict=True)]
         levels: Levels = []
         for d in range(TOP - 1, -1, -1):
-            up_keys = below[0] & np.uint64((1 << 8 * (d + 1)) - 1)
-            order = np.argsort(up_keys, kind="stable")
-            e = edges(up_keys[order])
-            summed = [np.add.reduceat(x[order], e) if len(e) else x for x in below[1:]]
-            weighted, kt, stop = weigh(summed[1], summed[2], summed[0])
-            levels.insert(0, (up_keys[order][e], kt, stop))
-            below = (up_keys[order][e], weighted, summed[1], summed[2])
+            level, below = _level(below, d)
+            levels.insert(0, level)
         mixed, past = descend(levels, 0, None)
-        for d in range(TOP):
-            out.keys[d].append(levels[d][0])
-            out.ones[d].append(mixed[d])
-        out.past.append(past)
+        more, past_split = descend([lowest], TOP, past) if len(past[0]) else ([np.zeros(0, np.float32)], past)
+        for d, (level, p) in enumerate(zip([*levels, lowest], [*mixed, *more], strict=True)):
+            out.keys[d].append(level[0])
+            out.ones[d].append(p)
+        out.past[0].append(past)
+        out.past[1].append(past_split)
     return out
 
 
-def window_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+def window_scores(grams: DataFrame, depth: int = DEPTH, heavy_share: float = HEAVY) -> DataFrame:
     """key, a and v of all windows (key, n, a): v is the log10 probability of the window's byte; n is 0 for windows training does not have."""
-    shared = grams.sparkSession.sparkContext.broadcast(grow_crown(grams, depth))
+    heavy = heavy_blocks(grams, heavy_share) if depth > TOP else []
+    shared = grams.sparkSession.sparkContext.broadcast(grow_crown(grams, heavy, depth))
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("v", pa.float32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crown = shared.value
-        for key, n, a in runs(batches, ["key", "n", "a"]):
-            g, seen = key.view(np.uint64), n > 0
-            keys, ones = [list(x) for x in crown.keys], [list(x) for x in crown.ones]
-            keys += [[] for _ in range(TOP, depth + 1)]
-            ones += [[] for _ in range(TOP, depth + 1)]
-            for k in range(8):
-                levels, _ = climb(g[seen], n[seen], k, depth, TOP)
-                for d, (level, p) in enumerate(zip(levels, descend(levels, TOP, crown.past[k])[0], strict=True), TOP):
-                    keys[d].append(level[0])
-                    ones[d].append(p)
-            v = Tree(depth, keys, ones).log10(g).astype(np.float32)
-            for i in range(0, len(g), 1 << 18):
-                part = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(a[part]), pa.array(v[part])], schema=schema)
+    def scored(split: bool) -> DataFrame:
+        top = TOP + split
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            crown = shared.value
+            for key, n, a in runs(batches, ["key", "n", "a"]):
+                g, seen = key.view(np.uint64), n > 0
+                keys, ones = [list(x) for x in crown.keys[:top]], [list(x) for x in crown.ones[:top]]
+                keys += [[] for _ in range(top, depth + 1)]
+                ones += [[] for _ in range(top, depth + 1)]
+                for k in range(8):
+                    levels, _ = climb(g[seen], n[seen], k, depth, top)
+                    for d, (level, p) in enumerate(zip(levels, descend(levels, top, crown.past[split][k])[0], strict=True), top):
+                        keys[d].append(level[0])
+                        ones[d].append(p)
+                v = Tree(depth, keys, ones).log10(g).astype(np.float32)
+                for i in range(0, len(g), 1 << 18):
+                    part = slice(i, i + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(a[part]), pa.array(v[part])], schema=schema)
+
+        return in_blocks(grams, heavy, split, ["n", "a"]).mapInArrow(run, "key long, a long, v float")
 
-    return in_blocks(grams, ["n", "a"]).mapInArrow(run, "key long, a long, v float")
+    return scored(False).unionByName(scored(True)) if heavy else scored(False)
 
 
 def _sorted_by_key(df: DataFrame, *values: str) -> list[np.ndarray]:
@@ -443,12 +479,13 @@ def tails(rows: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends), inner)
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10, word_share: float = HEAD_SHARE, window_share: float = WINDOW_SHARE) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int = 10, word_share: float = HEAD_SHARE, window_share: float = WINDOW_SHARE, heavy_share: float = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
     Null and empty texts are one end token. With no training document every count is 0: base_score is that
     of the smoothing alone and every bit has probability 1/2. Repeated rows are scored each; other columns are ignored.
-    The shares decide what is looked up and what is joined, not the result. depth is 2 to 6.
+    The shares decide what is looked up, what is joined and which blocks are split, not the result. Words and their counts are
+    kept by 64-bit hashes: of ten thousand million different words about three pairs share one. depth is 2 to 6.
     """
     if not TOP <= depth <= 6:
         raise ValueError("depth is 2 to 6: windows are kept in 56 bits, so that they sort alike signed and unsigned")
@@ -456,7 +493,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
     counts = stored(corpus_counts(docs, depth, held_fold, folds), "ctw-counts")
     words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == WINDOW)
     total, everywhere, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.sum("a"), F.sum((F.col("n") > 0).cast("long"))).first())
-    values = stored(window_scores(grams.select("key", "n", "a"), depth), "ctw-windows")
+    values = stored(window_scores(grams.select("key", "n", "a"), depth, heavy_share), "ctw-windows")
     all_windows = values.agg(F.sum("a")).first()[0] or 0
     word_keys, word_n = _sorted_by_key(words.where(F.col("a") >= F.lit(max(1.0, word_share * everywhere))), "n")
     gram_keys, gram_v, gram_a = _sorted_by_key(values.where(F.col("a") >= F.lit(max(1.0, window_share * all_windows))), "v", "a")

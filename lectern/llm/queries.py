@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,14 +75,15 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '{gap}'), lambda x: x <> '') AS words, [{classes}] AS c FROM d),
 u AS (SELECT doc_id, lang, unnest(words) AS word FROM w),
 totals AS (SELECT lang, sum(len(words)) AS total FROM w WHERE lang IS NOT NULL GROUP BY lang),
-langs AS (SELECT lang, total FROM totals WHERE total > 0 AND total >= {divergence.LANGUAGE_SHARE} * (SELECT sum(total) FROM totals)),
+largest AS (SELECT lang, total FROM totals WHERE total > 0 ORDER BY total DESC, lang LIMIT {math.ceil(1 / divergence.LANGUAGE_SHARE)}),
+langs AS (SELECT lang, total FROM largest WHERE total >= least({divergence.MIN_WORDS}, {divergence.LANGUAGE_SHARE} * (SELECT sum(total) FROM largest))),
 refw AS (SELECT lang, word, count(*) / any_value(total) AS q FROM u JOIN langs USING (lang) GROUP BY lang, word HAVING count(*) >= {divergence.MIN_SHARE} * any_value(total)),
 sumq AS (SELECT lang, coalesce(sum(q), 0) AS s FROM refw GROUP BY lang),
 cls AS (SELECT doc_id, lang, len(t) AS n, unnest(generate_series(1, 7)) AS i, unnest(c) AS k FROM w),
 refc AS (SELECT lang, i, sum(k) / sum(sum(k)) OVER (PARTITION BY lang) AS q FROM cls JOIN langs USING (lang) GROUP BY lang, i),
 cd AS (SELECT doc_id, min(x) AS dc FROM (
-  SELECT doc_id, r.lang, sqrt(greatest(sum({_half("(k / n)", "r.q")}) / 2, 0)) AS x FROM cls JOIN refc r USING (i) WHERE n >= {limits.min_chars} GROUP BY doc_id, r.lang) GROUP BY doc_id),
-long AS (SELECT doc_id, len(words) AS n FROM w WHERE len(words) >= {limits.min_words}),
+  SELECT doc_id, r.lang, sqrt(greatest(sum({_half("(k / n)", "r.q")}) / 2, 0)) AS x FROM cls JOIN refc r USING (i) WHERE n >= {limits.min_chars} AND (cls.lang IS NULL OR cls.lang IN (SELECT lang FROM langs)) GROUP BY doc_id, r.lang) GROUP BY doc_id),
+long AS (SELECT doc_id, len(words) AS n FROM w WHERE len(words) >= {limits.min_words} AND (lang IS NULL OR lang IN (SELECT lang FROM langs))),
 dw AS (SELECT doc_id, word, count(*) AS k FROM u SEMI JOIN long USING (doc_id) SEMI JOIN refw USING (word) GROUP BY ALL),
 parts AS (SELECT doc_id, r.lang, sum({_half("(k / n)", "r.q")}) AS s, sum(k / n) AS p, sum(r.q) AS q FROM dw JOIN long USING (doc_id) JOIN refw r USING (word) GROUP BY doc_id, r.lang),
 wd AS (SELECT doc_id, min(sqrt(greatest((coalesce(s, 0) + sq - coalesce(q, 0) + {_half("greatest(1 - coalesce(p, 0), 0)", "greatest(1 - sq, 0)")}) / 2, 0))) AS dw

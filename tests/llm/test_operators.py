@@ -754,7 +754,7 @@ def test_scores(spark, hard):
     # The distributed tree is the one tree of all training windows, whatever is looked up and whatever is joined.
     text = {r: ctw.stream((r.text or "").encode()) for r in rows}
     tree = ctw.grow(*ctw.counted(ctw.inside(*ctw.windows([text[r] for r in rows if not held[r]]))))
-    for shares in ({}, {"word_share": 1e-4, "window_share": 1e-5}, {"word_share": 2.0, "window_share": 2.0}):
+    for shares in ({}, {"word_share": 1e-4, "window_share": 1e-5, "heavy_share": 0.02}, {"word_share": 2.0, "window_share": 2.0, "heavy_share": 0.0}, {"heavy_share": 2.0}):
         again = defaultdict(list)
         for r in ctw.scores(docs, **shares).collect():
             again[r.doc_id, r.n_tokens].append(r)
