@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def fold_table() -> tuple[str, str]:
     return "".join(pairs) + "".join(map(chr, SILENT_MARKS)), "".join(pairs.values())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value computed once: a column inside a lambda is computed for each element, a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cjk_space(c: Column) -> Column:
     """A space on both sides of every character of the scripts that are indexed one by one."""
     return F.regexp_replace(c, f"([{CJK_RANGES}])", " $1 ")

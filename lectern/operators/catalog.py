@@ -6,6 +6,7 @@ import os
 import posixpath
 import re
 import shutil
+import unicodedata
 import uuid
 from datetime import datetime, timezone
 from pathlib import Path
@@ -73,8 +74,9 @@ def bootstrap(store: Store, csv: str) -> int:
 
 
 def stored_name(work_id: int, language: str, name: str) -> str:
-    """wN_language_stem.suffix with an ASCII stem; `upload` where nothing of it is left."""
+    """wN_language_stem.suffix with an ASCII stem, accents folded; `upload` where nothing of it is left."""
     stem, ext = posixpath.splitext(posixpath.basename(name.replace("\\", "/")))
+    stem = unicodedata.normalize("NFKD", stem).encode("ascii", "ignore").decode()
     safe = re.sub(r"[^A-Za-z0-9_.-]+", "", "_".join(stem.split())).strip("._")
     return f"w{work_id}_{language}_{safe or 'upload'}{ext.lower()}"
 
@@ -93,12 +95,12 @@ def add_edition(store: Store, files_dir: str, source: str, work_id: int, languag
     Path(files_dir).mkdir(parents=True, exist_ok=True)
     shutil.copyfile(source, target)
     try:
-        editions, segments = store.table("editions", base), store.table("segments", base)
+        editions = store.table("editions", base)
         edition_id = (editions.agg(F.max("id")).first()[0] or 0) + 1
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
         row = store.spark.createDataFrame([(edition_id, work_id, language, sources.suffix(filename)[1:], filename, sources.suffix(filename) == ".pdf", notes, now)], schema.EDITIONS)
         parsed = sources.read_files(store.spark, str(target), encoding=encoding)
-        store.commit({"editions": editions.unionByName(row), "segments": segments.unionByName(indexed(parsed, F.lit(edition_id).cast("long")))}, base)
+        store.commit({"editions": editions.unionByName(row)}, base, {edition_id: indexed(parsed, F.lit(edition_id).cast("long"))})
         return edition_id
     except Exception:
         if not shared:
@@ -107,9 +109,9 @@ def add_edition(store: Store, files_dir: str, source: str, work_id: int, languag
 
 
 def indexed(parsed: DataFrame, edition_id: Column) -> DataFrame:
-    """Parsed segments as rows of the table: ids from the edition and the place, and the token column."""
+    """Parsed segments as rows of the table, with the token column. An id is the edition above 32 bits of the place, which is an int: no two are equal."""
     e = edition_id
-    return parsed.select((e * 1_000_000 + F.col("seq")).alias("id"), e.alias("edition_id"), F.col("seq").cast("int").alias("seq"), "chapter", F.col("page").cast("int").alias("page"), "content", X.token_text(F.col("content")).alias("tok"))
+    return parsed.select((F.shiftleft(e, 32) + F.col("seq")).alias("id"), e.alias("edition_id"), F.col("seq").cast("int").alias("seq"), "chapter", F.col("page").cast("int").alias("page"), "content", X.token_text(F.col("content")).alias("tok"))
 
 
 def without_edition(rows: DataFrame, gone: DataFrame, key: str = "edition_id") -> DataFrame:
@@ -134,7 +136,7 @@ def delete_edition(store: Store, files_dir: str, work_id: int, edition_id: int)
     file_status: unrecorded, missing, shared, deleted or cleanup_failed.
     """
     base = store.version()
-    works, editions, segments = (store.table(t, base) for t in ("works", "editions", "segments"))
+    works, editions = store.table("works", base), store.table("editions", base)
     if works.where(F.col("id") == work_id).isEmpty():
         raise schema.WorkMissing(f"no work {work_id}")
     edition = editions.where(F.col("id") == edition_id).first()
@@ -147,7 +149,7 @@ def delete_edition(store: Store, files_dir: str, work_id: int, edition_id: int)
         source = safe_file(files_dir, name)
         shared = editions.where((F.col("filename") == name) & (F.col("id") != edition_id)).count()
         status = "missing" if not source.exists() else "shared" if shared else "staged"
-    report = {"work_id": work_id, "edition_id": edition_id, "language": edition["language"], "format": edition["format"], "filename": name, "shared_references": shared, "segment_count": segments.where(F.col("edition_id") == edition_id).count()}
+    report = {"work_id": work_id, "edition_id": edition_id, "language": edition["language"], "format": edition["format"], "filename": name, "shared_references": shared, "segment_count": store.edition(edition_id, base).count()}
     if status == "staged":
         trash = Path(files_dir) / ".trash"
         trash.mkdir(exist_ok=True)
@@ -157,7 +159,7 @@ def delete_edition(store: Store, files_dir: str, work_id: int, edition_id: int)
         os.replace(source, staged)
     try:
         gone = editions.where(F.col("id") == edition_id).select("id")
-        store.commit({"editions": without_edition(editions, gone, "id"), "segments": without_edition(segments, gone)}, base)
+        store.commit({"editions": without_edition(editions, gone, "id")}, base, {edition_id: None})
     except Exception:
         if staged is not None:
             if source.exists():

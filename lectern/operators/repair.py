@@ -138,8 +138,8 @@ def repair_edition(store: Store, edition_id: int, parsed: list[tuple[int, str |
     The rows are one edition's, a book, which is what the driver reads.
     """
     base = store.version()
-    segments = store.table("segments", base)
-    rows = segments.where(F.col("edition_id") == edition_id).select("id", "seq", "chapter", "content").orderBy("seq", "id").collect()
+    segments = store.edition(edition_id, base)
+    rows = segments.select("id", "seq", "chapter", "content").orderBy("seq", "id").collect()
     report = plan(rows, parsed, documents)
     if not apply:
         return report
@@ -148,5 +148,5 @@ def repair_edition(store: Store, edition_id: int, parsed: list[tuple[int, str |
     if report.changes:
         new = store.spark.createDataFrame([(c["segment_id"], c["new_chapter"]) for c in report.changes], "id long, new_chapter string").withColumn("changed", F.lit(True))
         fixed = segments.join(new, "id", "left").withColumn("chapter", F.when(F.col("changed"), F.col("new_chapter")).otherwise(F.col("chapter")))
-        store.commit({"segments": fixed.select(*schema.SEGMENTS.names)}, base)
+        store.commit({}, base, {edition_id: fixed.select(*schema.SEGMENTS.names)})
     return report

@@ -37,7 +37,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     seq = F.col("pos") + 1
     chapter = F.when(seq % 13 == 0, None).when(seq == 1, "Cover").when(seq <= 4, "Part 1").otherwise(F.concat(F.lit("Chapter "), F.floor((seq - 5) / 6) + 1))
     segments = docs.select("doc_id", F.posexplode(lines).alias("pos", "content")).select(
-        (F.col("doc_id") * 100000 + seq).alias("id"), F.col("doc_id").alias("edition_id"), seq.alias("seq"), chapter.alias("chapter"), F.lit(None).cast("int").alias("page"), "content", X.token_text(F.col("content")).alias("tok")
+        (F.shiftleft("doc_id", 32) + seq).alias("id"), F.col("doc_id").alias("edition_id"), seq.alias("seq"), chapter.alias("chapter"), F.lit(None).cast("int").alias("page"), "content", X.token_text(F.col("content")).alias("tok")
     )
     return Corpus(works, editions, segments)
 
@@ -58,7 +58,7 @@ DUCKDB = r"""WITH works AS (
 ), cut AS (
   SELECT doc_id, CAST(unnest(generate_series(1, len(l))) AS INTEGER) AS seq, unnest(l) AS content FROM lists
 ), segments AS (
-  SELECT doc_id * 100000 + seq AS id, doc_id AS edition_id, seq, content,
+  SELECT doc_id * 4294967296 + seq AS id, doc_id AS edition_id, seq, content,
     CASE WHEN seq % 13 = 0 THEN NULL WHEN seq = 1 THEN 'Cover' WHEN seq <= 4 THEN 'Part 1' ELSE 'Chapter ' || ((seq - 5) // 6 + 1) END AS chapter,
     ' ' || array_to_string(regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}]+'), ' ') || ' ' AS tok
   FROM cut

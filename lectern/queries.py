@@ -151,10 +151,10 @@ def shared_files(spark, sf_dir):
     return shelf.shared_files(corpus(spark, sf_dir).editions)
 
 
-@query("SELECT s.id, s.edition_id, s.seq, s.chapter, s.content, s.id = 700006 AS is_target FROM segments s WHERE s.edition_id = 7 AND s.seq BETWEEN 1 AND 11 AND EXISTS (SELECT 1 FROM segments t WHERE t.id = 700006)")
+@query("SELECT s.id, s.edition_id, s.seq, s.chapter, s.content, s.id = 30064771078 AS is_target FROM segments s WHERE s.edition_id = 7 AND s.seq BETWEEN 1 AND 11 AND EXISTS (SELECT 1 FROM segments t WHERE t.id = 30064771078)")
 def segment_context(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return reader.segment_context(c.segments, c.editions, c.works, 700006).select("id", "edition_id", "seq", "chapter", "content", "is_target")
+    return reader.segment_context(c.segments, c.editions, c.works, 30064771078).select("id", "edition_id", "seq", "chapter", "content", "is_target")
 
 
 READABLE = r"(regexp_matches(content, '[\p{L}\p{N}]') AND NOT regexp_full_match(trim(content), '(?i)(?:https?://)?(?:www\.)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?:[/#?]\S*)?'))"

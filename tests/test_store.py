@@ -58,6 +58,35 @@ def test_add_and_delete(store, csv, tmp_path):
             catalog.delete_edition(store, str(files), work, edition)
 
 
+def test_an_edition_costs_its_own_files(store, csv, tmp_path):
+    files = tmp_path / "files"
+    a, b, c = (add(store, files, csv, f"f{i}.txt", f"text {i}\nmore") for i in range(3))
+    folders = lambda: [g["folder"] for g in store.tables()["segments"]]
+    before = folders()
+    d = add(store, files, csv, "g.txt")
+    assert folders()[:-1] == before
+    catalog.delete_edition(store, str(files), 1, b)
+    assert len(folders()) == len(before) and set(before) - set(folders()) == {before[-2]}
+    assert store.merge() == store.version() and [g["editions"] for g in store.tables()["segments"]] == [None, [a, c, d]]
+    repair.repair_edition(store, c, [(1, "New", "text 2"), (2, "New", "more")], apply=True)
+    assert [g["editions"] for g in store.tables()["segments"]] == [None, [a, d], [c]]
+    assert store.table("segments").count() == 6 and store.edition(c).where("chapter = 'New'").count() == 2
+    assert store.table("segments").select("id").distinct().count() == 6
+
+
+def test_a_pointer_is_there_whole_or_not_at_all(store, tmp_path):
+    base = store.version()
+    (tmp_path / "store" / "versions" / ".half").write_text("{")  # what a writer leaves that died before the rename
+    assert store.version() == base and store.table("works").count() == 0
+    again = Store(store.spark, store.path)
+    assert store.commit({}, base) == base + 1
+    with pytest.raises(schema.CorpusError):
+        again.commit({}, base)
+    with pytest.raises(schema.CorpusError):
+        again._publish({}, base + 1)
+    assert store.tables().keys() == {"works", "editions", "segments"}
+
+
 def test_failures_leave_nothing(store, csv, tmp_path):
     files = tmp_path / "files"
     catalog.bootstrap(store, str(csv))
@@ -91,7 +120,7 @@ def test_unsafe_names(tmp_path, name):
 
 
 def test_stored_names():
-    names = [("羊男.epub", "w1_zh_upload.epub"), ("Field Notes.PDF", "w1_zh_Field_Notes.pdf"), ("..\\..\\x.txt", "w1_zh_x.txt")]
+    names = [("羊男.epub", "w1_zh_upload.epub"), ("Field Notes.PDF", "w1_zh_Field_Notes.pdf"), ("..\\..\\x.txt", "w1_zh_x.txt"), ("Café Ünï.epub", "w1_zh_Cafe_Uni.epub")]
     assert [catalog.stored_name(1, "zh", a) for a, _ in names] == [b for _, b in names]
 
 
