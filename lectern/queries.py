@@ -328,3 +328,6 @@ def lang_label(spark, sf_dir):
 @query("SELECT id, coalesce(nullif(chapter, ''), '#' || seq) AS place FROM segments")
 def locator(spark, sf_dir):
     return corpus(spark, sf_dir).segments.select("id", X.locator(F.col("page"), F.col("chapter"), F.col("seq")).alias("place"))
+
+
+from lectern import book_queries  # noqa: E402, F401  registers its queries, with what is above
