@@ -18,7 +18,7 @@ SILENT_MARKS = [*range(0x0300, 0x0305), *range(0x0306, 0x030D), 0x030F, 0x0311,
 # Letters folded by exception.
 FOLD_EXCEPTIONS = {"ſ": "s", "ẛ": "s", "µ": "μ", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε"}
 DISPLAY_OPERATORS = {"AND", "OR", "NOT", "NEAR"}
-TERM_EDGE = " \t\r\n.,:;!?()[]{}<>*+^~`“”‘’「」『』、。，！？；：（）"
+TERM_EDGE = "\"()[]{}*:^~+,.!?;\\"  # fixed value: what is taken off the ends of a display term
 MAX_QUERY, KWIC_MOST, KWIC_WIDTH, HIGHLIGHTS_MOST = 300, 5, 60, 200
 LABELS = {"zh": "中", "ja": "日", "en": "英"}
 
@@ -66,6 +66,16 @@ def phrase_texts(query: str) -> list[str]:
     return [(a or b).replace('"', " ").strip() for a, b in re.findall(r'"([^"]+)"|(\S+)', q) if (a or b).strip('" ')] or [q]
 
 
+def may_match(content: Column, query: str) -> Column:
+    """A cheap test that every text passes which matches(): it holds the query's ASCII words after folding. Worth it where the tokens are not stored."""
+    source, target = fold_table()
+    folded = F.translate(F.lower(F.coalesce(content, F.lit(""))), source, target)
+    keep = F.lit(True)
+    for word in sorted({w for p in phrase_texts(query) if p.isascii() for w in re.findall("[a-z0-9]+", p.lower())}, key=lambda w: (-len(w), w)):
+        keep = keep & F.contains(folded, F.lit(word))
+    return keep
+
+
 def matches(tok: Column, query: str) -> Column:
     """Rows that hold every phrase. A phrase without tokens, like & or ***, empties the result."""
     keep = F.lit(bool(phrase_texts(query)))
@@ -78,12 +88,13 @@ def matches(tok: Column, query: str) -> Column:
 def display_terms(query: str) -> list[str]:
     """What to mark in a text: quoted spans, then words without operators; CJK queries as they are; each once, whatever its case."""
     q = (query or "")[:MAX_QUERY].strip()
-    quoted = [m.strip() for m in re.findall(r'"([^"]+)"', q)]
-    rest = re.sub(r'"[^"]+"', " ", q).split()
-    if CJK.search(q) and not quoted and not any(w.upper() in DISPLAY_OPERATORS for w in rest):
-        found = [q.strip(TERM_EDGE + '"')]
+    spans = re.findall(r'"([^"\r\n]+)"', q)
+    rest = re.sub(r'"[^"\r\n]+"', " ", q).split()
+    bare = lambda t: t.strip(TERM_EDGE).strip()
+    if CJK.search(q) and not spans and not any(w.upper() in DISPLAY_OPERATORS for w in rest):
+        found = [bare(q)]
     else:
-        found = quoted + [t for w in rest if (t := w.strip(TERM_EDGE + '"')) and t.upper() not in DISPLAY_OPERATORS]
+        found = [t.strip() for t in spans] + [t for t in map(bare, rest) if t.upper() not in DISPLAY_OPERATORS]
     return list({t.casefold(): t for t in reversed(found) if t}.values())[::-1]
 
 

@@ -28,6 +28,11 @@ def hits(segments: DataFrame, editions: DataFrame, works: DataFrame, query: str,
     return found.join(e, "edition_id").join(w, "work_id")
 
 
+def asked_of(segments: DataFrame, query: str) -> DataFrame:
+    """Segments that can match, by a test that costs less than making their tokens. For segments whose tok is not stored."""
+    return segments.where(X.may_match(F.col("content"), query))
+
+
 def reading_order() -> list[Column]:
     return [F.asc_nulls_first("year"), F.asc("language"), F.asc("seq"), F.asc("edition_id"), F.asc("segment_id")]
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import search
 
 
 @dataclass
@@ -16,6 +17,10 @@ class Corpus:
     editions: DataFrame
     segments: DataFrame
 
+    def asked(self, query: str) -> Corpus:
+        """The corpus with the segments that can match a query: its tokens are not stored."""
+        return Corpus(self.works, self.editions, search.asked_of(self.segments, query))
+
     def __iter__(self):
         return iter((self.segments, self.editions, self.works))
 

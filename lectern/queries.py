@@ -38,33 +38,33 @@ def both(*words: str) -> str:
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('thing')} ORDER BY {ORDER_SQL} LIMIT 100")
 def search_latin(spark, sf_dir):
-    return search.search(*corpus(spark, sf_dir), "Thing").select(*HIT)
+    return search.search(*corpus(spark, sf_dir).asked("Thing"), "Thing").select(*HIT)
 
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('the', 'tion')} ORDER BY {ORDER_SQL} LIMIT 100")
 def search_and(spark, sf_dir):
-    return search.search(*corpus(spark, sf_dir), "the tion").select(*HIT)
+    return search.search(*corpus(spark, sf_dir).asked("the tion"), "the tion").select(*HIT)
 
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('and of')} ORDER BY {ORDER_SQL} LIMIT 50")
 def search_phrase(spark, sf_dir):
-    return search.search(*corpus(spark, sf_dir), '"and of"', limit=50).select(*HIT)
+    return search.search(*corpus(spark, sf_dir).asked('"and of"'), '"and of"', limit=50).select(*HIT)
 
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('der')} AND language = 'de' ORDER BY {ORDER_SQL} LIMIT 100")
 def search_lang(spark, sf_dir):
-    return search.search(*corpus(spark, sf_dir), "der", language="de").select(*HIT)
+    return search.search(*corpus(spark, sf_dir).asked("der"), "der", language="de").select(*HIT)
 
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('the')} AND list_contains(genres, 'essay') ORDER BY {ORDER_SQL} LIMIT 100")
 def search_genre(spark, sf_dir):
-    return search.search(*corpus(spark, sf_dir), "the", genre="essay").select(*HIT)
+    return search.search(*corpus(spark, sf_dir).asked("the"), "the", genre="essay").select(*HIT)
 
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('pere')} OR {both('fur')} OR {both('e')} ORDER BY {ORDER_SQL} LIMIT 100")
 def search_accent_fold(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    found = [search.hits(*c, q) for q in ("père", "FÜR", "é")]
+    found = [search.hits(*c.asked(q), q) for q in ("père", "FÜR", "é")]
     return found[0].unionByName(found[1]).unionByName(found[2]).dropDuplicates(["segment_id"]).orderBy(*search.reading_order()).limit(100).select(*HIT)
 
 
@@ -73,24 +73,24 @@ GROUPED = f"grouped AS (SELECT *, count(*) OVER (PARTITION BY work_id) AS total_
 
 @query(f", {GROUPED} SELECT {HIT_SQL}, total_hits FROM grouped WHERE hit_rank <= 30")
 def search_grouped(spark, sf_dir):
-    return search.search_grouped(*corpus(spark, sf_dir), "thing").select(*HIT, "total_hits")
+    return search.search_grouped(*corpus(spark, sf_dir).asked("thing"), "thing").select(*HIT, "total_hits")
 
 
 @query(f"SELECT {HIT_SQL} FROM hits WHERE {both('thing')} AND work_id = 3")
 def search_work(spark, sf_dir):
-    return search.search_work(*corpus(spark, sf_dir), "thing", 3).select(*HIT)
+    return search.search_work(*corpus(spark, sf_dir).asked("thing"), "thing", 3).select(*HIT)
 
 
 @query(f", {GROUPED} SELECT work_id, title_zh, year, max(total_hits) AS total_hits, count(*) AS displayed_hits, count(*) < max(total_hits) AS is_truncated FROM grouped WHERE hit_rank <= 30 GROUP BY ALL")
 def search_work_groups(spark, sf_dir):
-    return search.group_works(search.search_grouped(*corpus(spark, sf_dir), "thing"))
+    return search.group_works(search.search_grouped(*corpus(spark, sf_dir).asked("thing"), "thing"))
 
 
 @query(f""", {GROUPED}, g AS (SELECT edition_id, language, nullif(chapter, '') AS chapter, list(segment_id ORDER BY seq, segment_id) AS ids FROM grouped WHERE hit_rank <= 30 GROUP BY ALL)
 SELECT edition_id, language, chapter, left(sha256(CAST(edition_id AS VARCHAR) || chr(0) || coalesce(chapter, '')), 16) AS chapter_key, ids[1] AS primary_segment_id,
   array_to_string(ids[2:], ',') AS additional, CAST(len(ids) AS INTEGER) AS chapter_hit_count, array_to_string(ids[1:200], ',') AS highlights_param, len(ids) > 1 AS is_multi_hit FROM g""")
 def chapter_groups(spark, sf_dir):
-    g = search.group_chapters(search.search_grouped(*corpus(spark, sf_dir), "thing"))
+    g = search.group_chapters(search.search_grouped(*corpus(spark, sf_dir).asked("thing"), "thing"))
     text = F.array_join(F.transform("additional_segment_ids", lambda i: i.cast("string")), ",")
     return g.select("edition_id", "language", "chapter", "chapter_key", "primary_segment_id", text.alias("additional"), "chapter_hit_count", "highlights_param", "is_multi_hit")
 
@@ -106,14 +106,14 @@ u AS (SELECT id, content, g, CAST(unnest(generate_series(1, least(len(h), 5))) A
 p AS (SELECT *, CAST(list_sum(list_transform(g[1:n], lambda x: length(x))) + 5 * (n - 1) AS INTEGER) AS before FROM u)
 SELECT id AS segment_id, n, substring(content, greatest(before - 60, 0) + 1, least(before, 60)) AS "left", match, substring(content, before + length(match) + 1, 60) AS "right" FROM p""")
 def kwic(spark, sf_dir):
-    s = corpus(spark, sf_dir).segments.where(X.matches(F.col("tok"), "thing"))
+    s = corpus(spark, sf_dir).asked("thing").segments.where(X.matches(F.col("tok"), "thing"))
     rows = s.select(F.col("id").alias("segment_id"), F.posexplode(X.kwic(F.col("content"), "thing")).alias("i", "c"))
     return rows.select("segment_id", (F.col("i") + 1).alias("n"), "c.left", "c.match", "c.right")
 
 
 @query(r"""SELECT id AS segment_id, length(regexp_replace(content, '(?i)\bthing\b', '', 'g')) AS plain_chars, CAST(len(regexp_extract_all(content, '(?i)\bthing\b')) AS INTEGER) AS marks, content AS text FROM segments WHERE contains(tok, ' thing ')""")
 def highlight_parts(spark, sf_dir):
-    s = corpus(spark, sf_dir).segments.where(X.matches(F.col("tok"), "thing")).select("id", X.highlight_parts(F.col("content"), "thing").alias("p"))
+    s = corpus(spark, sf_dir).asked("thing").segments.where(X.matches(F.col("tok"), "thing")).select("id", X.highlight_parts(F.col("content"), "thing").alias("p"))
     plain = F.aggregate(F.filter("p", lambda x: ~x["is_match"]), F.lit(0), lambda a, x: a + F.length(x["text"])).cast("long")
     return s.select(F.col("id").alias("segment_id"), plain.alias("plain_chars"), F.size(F.filter("p", lambda x: x["is_match"])).alias("marks"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
@@ -217,36 +217,42 @@ def txt_chapters(spark, sf_dir):
 
 
 SAMPLES = [(1, "羊男在图书馆"), (2, "羊の男"), (3, "羊 男"), (4, "カフカ・海辺"), (5, "ab羊cd"), (6, "羊男井户"), (7, "羊男 and 井户"), (8, "Café"), (9, "water only"), (10, "well-known foo_bar")]
-SAMPLE_SQL = "VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SAMPLES)
+SAMPLE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in SAMPLES) + ") v(id, content) UNION ALL SELECT doc_id + 1000, '羊男' || text || '女ab羊' FROM documents"
 CJK_SQL = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}]"
 TOK_SQL = rf"' ' || array_to_string(regexp_extract_all(lower(strip_accents(regexp_replace(content, '({CJK_SQL})', ' \1 ', 'g'))), '[\p{{L}}\p{{N}}]+'), ' ') || ' '"
 
 
-def _samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAMPLES, "id int, content string").withColumn("tok", X.token_text(F.col("content")))
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples and all documents, each between CJK characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select((F.col("doc_id") + 1000).alias("id"), F.concat(F.lit("羊男"), "text", F.lit("女ab羊")).alias("content"))
+    return spark.createDataFrame(SAMPLES, "id long, content string").unionByName(texts).withColumn("tok", X.token_text(F.col("content")))
 
 
 @query(rf"SELECT id, regexp_replace(content, '({CJK_SQL})', ' \1 ', 'g') AS spaced, {TOK_SQL} AS tok FROM ({SAMPLE_SQL}) t(id, content)", views=False)
 def cjk_space(spark, sf_dir):
-    return _samples(spark).select("id", X.cjk_space(F.col("content")).alias("spaced"), "tok")
+    return _samples(spark, sf_dir).select("id", X.cjk_space(F.col("content")).alias("spaced"), "tok")
 
 
 @query(f"SELECT id, content FROM (SELECT *, {TOK_SQL} AS tok FROM ({SAMPLE_SQL}) t(id, content)) WHERE contains(tok, ' 羊 男 ')", views=False)
 def cjk_search(spark, sf_dir):
-    return _samples(spark).where(X.matches(F.col("tok"), "羊　男")).select("id", "content")
+    return _samples(spark, sf_dir).where(X.matches(F.col("tok"), "羊　男")).select("id", "content")
 
 
 @query(f"SELECT id, content FROM (SELECT *, {TOK_SQL} AS tok FROM ({SAMPLE_SQL}) t(id, content)) WHERE contains(tok, ' ab 羊 ')", views=False)
 def mixed_script(spark, sf_dir):
-    return _samples(spark).where(X.matches(F.col("tok"), "ab羊")).select("id", "content")
-
-
-NAME_LISTS = [(1, '["a", "b"]'), (2, "x、y，z"), (3, ""), (4, None), (5, "one; two/three"), (6, "[broken")]
+    return _samples(spark, sf_dir).where(X.matches(F.col("tok"), "ab羊")).select("id", "content")
 
 
-@query("SELECT * FROM (VALUES (1, 'a|b'), (2, 'x|y|z'), (3, ''), (4, ''), (5, 'one|two|three'), (6, '[broken')) t(id, names)", views=False)
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a|b' || doc_id WHEN 1 THEN doc_id || '|y|z' WHEN 3 THEN 'one|two|three' || doc_id WHEN 4 THEN '[broken' || doc_id ELSE '' END AS names FROM documents""", views=False)
 def list_normalize(spark, sf_dir):
-    return spark.createDataFrame(NAME_LISTS, "id int, raw string").select("id", F.array_join(X.name_list(F.col("raw")), "|").alias("names"))
+    """Lists as JSON, between separators of several scripts, empty, broken and null."""
+    docs, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id").cast("string")
+    raws = [F.concat(F.lit('["a", "b'), i, F.lit('"]')), F.concat(i, F.lit("、y，z")), F.lit(""), F.concat(F.lit("one; two/three"), i), F.concat(F.lit("[broken"), i)]
+    raw = F.lit(None).cast("string")
+    for n, r in enumerate(raws):
+        raw = F.when(F.col("doc_id") % 6 == n, r).otherwise(raw)
+    return docs.select("doc_id", F.array_join(X.name_list(raw), "|").alias("names"))
 
 
 IMPORT_SQL = "first AS (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source)"
@@ -313,10 +319,12 @@ def html_block_texts(spark, sf_dir):
     return html_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query("SELECT * FROM (VALUES (1, '1,2,4'), (2, ''), (3, '7')) t(id, ids)", views=False)
+@query("""SELECT doc_id, CASE WHEN doc_id = 0 THEN '1,4' WHEN doc_id = 4 THEN '4,5' WHEN doc_id = 3 THEN '3,4' ELSE doc_id || ',' || (doc_id + 1) || ',4' END AS ids FROM documents""", views=False)
 def highlight_ids(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "1,1,bad,-2,３,2,0, 4"), (2, None), (3, "7,7")], "id int, raw string")
-    return rows.select("id", F.array_join(F.transform(X.highlight_ids(F.col("raw")), lambda i: i.cast("string")), ",").alias("ids"))
+    """Lists of ids with repeats, zeros, signs and digits of other scripts."""
+    docs, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    raw = F.concat(i, F.lit(","), i, F.lit(",bad,-2,３,,0,"), i + 1, F.lit(", 4"))
+    return docs.select("doc_id", F.array_join(F.transform(X.highlight_ids(raw), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("SELECT lang, CASE lang WHEN 'zh' THEN '中' WHEN 'ja' THEN '日' WHEN 'en' THEN '英' ELSE lang END AS label, count(*) AS n FROM documents GROUP BY lang", views=False)

@@ -47,6 +47,10 @@ class BlockMissing(CorpusError):
     pass
 
 
+class SegmentMissing(CorpusError):
+    pass
+
+
 class ReadOnly(CorpusError):
     pass
 

@@ -4,8 +4,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import schema
 from lectern.functions import text as X
-from lectern.operators import search
+from lectern.operators import index, pages, search
 
 TEXTS = ["羊男在图书馆", "羊の男", "羊 男", "カフカ・海辺", "ab羊cd", "羊男井户", "羊男 and 井户", "Café", "CAFÉ noir", "don't stop", "foo_bar", "well-known", "well known", "Straße", "ångström", "ǖ x", "σίσυφος", "й", "x\u0323y z", "x\u0338y z", "water only", "not water", "water running", "running water", "ΣΊΣΥΦΟΣ", "ế", "1２3", "ﬁn", "𠮷野家", "か\u3099", "foo & bar", "*** !", "wat"]
 QUERIES = ["羊男", "羊　男", "男", "カフカ海辺", "ab羊", "b羊", "cafe", "CAFÉ", "noir cafe", "don't", "foo", "well-known", "straße", "strasse", "angstrom", "ü", "σισυφος", "й", "xy", "x y", "NOT water", "wat*", "water running", "野家", "か", "foo & bar", "foo ***", "、", "123", "fin"]
@@ -74,3 +75,36 @@ def test_display_terms_and_ids(spark):
     ids = "1,1,bad,-2,３," + ",".join(map(str, range(2, 260)))
     got = spark.createDataFrame([(ids,)], "t string").select(X.highlight_ids(F.col("t")).alias("v")).first().v
     assert got == list(range(1, 201))
+
+
+@pytest.mark.parametrize("chunk", [0, 1, 2])
+def test_the_cheap_test_passes_every_hit(spark, chunk):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, content string").withColumn("tok", X.token_text(F.col("content"))).cache()
+    for q in QUERIES[chunk::3]:
+        assert rows.where(X.matches(F.col("tok"), q) & ~X.may_match(F.col("content"), q)).count() == 0, q
+    assert rows.where(X.may_match(F.col("content"), "water")).count() == 4
+
+
+def test_postings_narrow_to_all_hits(spark, corpus, tmp_path):
+    segments, editions, works = small(corpus)
+    index.write_postings(segments, str(tmp_path / "p"))
+    for q in ("needle", "needle one", '"needle one"', "needle nothing", "***", "", "NEEDLE 17"):
+        want = {r.segment_id for r in search.hits(segments, editions, works, q).collect()}
+        assert {r.segment_id for r in search.hits(index.narrowed(segments, str(tmp_path / "p"), q), editions, works, q).collect()} == want, q
+    plan = index.candidates(spark, str(tmp_path / "p"), "needle")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_pages_of_ids_that_are_not_there(corpus):
+    c = small(corpus)
+    assert pages.work_hits(*c, "needle", 12).count() == 3 and pages.segment_page(*c, 1202).where("is_target").count() == 1
+    work, editions = pages.work_page(*c, 12)
+    assert work["title_zh"] == "A" and [(r.id, r.segment_count) for r in editions.collect()] == [(121, 1), (120, 3)]
+    for call, error in ((lambda: pages.work_hits(*c, "", 99), schema.WorkMissing), (lambda: pages.work_hits(*c, "  ", 12), ValueError), (lambda: pages.work_page(*c, 99), schema.WorkMissing), (lambda: pages.segment_page(*c, 5), schema.SegmentMissing)):
+        with pytest.raises(error):
+            call()
+
+
+def test_ends_of_display_terms():
+    assert X.display_terms('(wat*) "running water" not near [x].\\ «y»') == ["running water", "wat", "x", "«y»"]
+    assert X.display_terms('"two\nlines" z') == ['two', 'lines', 'z'] and X.display_terms("羊男。") == ["羊男。"] and X.display_terms("羊男!") == ["羊男"]
