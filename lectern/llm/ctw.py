@@ -21,6 +21,7 @@ Nothing is cut off, at any size: every window of the corpus is counted and every
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,12 +30,13 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 6, 2, 1 << 20, 400_000, 21, 300_000
+DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 6, 2, 1 << 20, 250_000, 21, 300_000
+WINDOWS = 1_000_000  # distinct windows that a task holds before it sends them on
 END = b"\n"
 
 
@@ -249,6 +251,12 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished phases are deleted when the driver's JVM has collected their plans: asked for here, as they are larger than what a phase leaves."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def word_key(word: bytes) -> int:
     """A word's 64-bit hash as a signed integer; counts are kept by it."""
     h = xxhash.xxh64_intdigest(word, 7)
@@ -313,7 +321,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds
                     got[h].append(counted(inside(*windows(streams, depth))))
                     if sum(len(x[0]) for x in got[h][1:]) > max(500_000, len(got[h][0][0])):
                         got[h] = [counted(np.concatenate([x[0] for x in got[h]]), np.concatenate([x[1] for x in got[h]]))]
-                    if len(words[h]) > CODES or len(got[h][0][0]) > 1_500_000:
+                    if len(words[h]) > CODES or len(got[h][0][0]) > WINDOWS:
                         yield from flush(bool(h), words[h], times[h], got[h])
                         words[h], times[h], got[h] = Codes(), np.zeros(0, np.int64), []
             give_back()
@@ -425,6 +433,7 @@ def window_scores(grams: DataFrame, depth: int = DEPTH, heavy_share: float = HEA
     """key, a and v of all windows (key, n, a): v is the log10 probability of the window's byte; n is 0 for windows training does not have."""
     heavy = heavy_blocks(grams, heavy_share) if depth > TOP else []
     shared = grams.sparkSession.sparkContext.broadcast(grow_crown(grams, heavy, depth))
+    let_go(grams.sparkSession)
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("v", pa.float32())])
 
     def scored(split: bool) -> DataFrame:
@@ -491,9 +500,11 @@ def scores(docs: DataFrame, depth: int = DEPTH, held_fold: int = 0, folds: int =
         raise ValueError("depth is 2 to 6: windows are kept in 56 bits, so that they sort alike signed and unsigned")
     spark = docs.sparkSession
     counts = stored(corpus_counts(docs, depth, held_fold, folds), "ctw-counts")
+    let_go(spark)
     words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == WINDOW)
     total, everywhere, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.sum("a"), F.sum((F.col("n") > 0).cast("long"))).first())
     values = stored(window_scores(grams.select("key", "n", "a"), depth, heavy_share), "ctw-windows")
+    let_go(spark)
     all_windows = values.agg(F.sum("a")).first()[0] or 0
     word_keys, word_n = _sorted_by_key(words.where(F.col("a") >= F.lit(max(1.0, word_share * everywhere))), "n")
     gram_keys, gram_v, gram_a = _sorted_by_key(values.where(F.col("a") >= F.lit(max(1.0, window_share * all_windows))), "v", "a")
