@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import schema
+from lectern.functions import sql
 from lectern.functions import text as X
 from lectern.operators import index, pages, search
 
@@ -108,3 +109,14 @@ def test_pages_of_ids_that_are_not_there(corpus):
 def test_ends_of_display_terms():
     assert X.display_terms('(wat*) "running water" not near [x].\\ «y»') == ["running water", "wat", "x", "«y»"]
     assert X.display_terms('"two\nlines" z') == ['two', 'lines', 'z'] and X.display_terms("羊男。") == ["羊男。"] and X.display_terms("羊男!") == ["羊男"]
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    sql.register(spark)
+    rows = spark.createDataFrame([(i, t, [None, "", "II"][i % 3], [None, 0, 7][i % 3], ["zh", "ja", "xx"][i % 3]) for i, t in enumerate([*TEXTS, None, " www.example.com/x ", "…"])], "id long, t string, chapter string, page int, lang string")
+    rows.createOrReplaceTempView("samples")
+    got = spark.sql("SELECT id, cjk_space(t), token_text(t), locator(page, chapter, CAST(id AS INT)), chapter_key(id, chapter), language_label(lang), readable(t) FROM samples").collect()
+    t = F.col("t")
+    want = rows.select("id", X.cjk_space(t), X.token_text(t), X.locator(F.col("page"), F.col("chapter"), F.col("id").cast("int")), X.chapter_key(F.col("id"), F.col("chapter")), X.language_label(F.col("lang")), X.readable(t)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert spark.sql("SELECT count(*) FROM samples WHERE contains(token_text(t), token_text('羊　男'))").first()[0] == rows.where(X.matches(X.token_text(t), "羊　男")).count() > 0
