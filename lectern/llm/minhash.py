@@ -28,6 +28,7 @@ from lectern.llm.shingles import majority, shingle_hashes
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 5
 #: Texts whose shingles a task that verifies pairs keeps.
 CACHE_TEXTS = 64
+LIST = 4096
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -65,8 +66,8 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def marks(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row (row_key), node, fp (the SimHash fingerprint) and keys of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, row (row_key), node, fp (the SimHash fingerprint), size (of the shingle set) and keys of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = permutations()
@@ -77,10 +78,10 @@ def marks(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 fp = np.array([majority(h) for h in hashed], np.uint64).view(np.int64)
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(s, *perms) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(node), pa.array(fp), keys], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(node), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), keys], schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, row long, node long, fp long, keys array<long>")
+    return narrow.mapInArrow(run, "doc_id long, row long, node long, fp long, size int, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, limit: float = SIMILARITY) -> DataFrame:
@@ -108,7 +109,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, limit: floa
 
 def links(docs: DataFrame, seen: DataFrame, words: int = WORDS, limit: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
     """(u, v) of nodes: links that connect all nodes which share a key, or are a pair of more (u, v), and are at least limit alike. seen: marks of docs, stored."""
-    keyed = seen.select("node", F.explode("keys").alias("key"))
+    keyed = seen.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     met = stored(keyed.join(stored(shared, "minhash-shared"), "key").distinct(), "minhash-buckets")
     stars = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
@@ -120,10 +121,16 @@ def links(docs: DataFrame, seen: DataFrame, words: int = WORDS, limit: float = S
     texts = docs.select(row_key(docs).alias("row"), F.col("text").cast("string").alias("text")).join(chosen, "row").select("node", "text")
     texts = stored(texts.dropDuplicates(["node"]), "minhash-texts")
     first = stored(verified(stars, texts, words, limit), "minhash-links")
-    parts = met.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = parts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    groups = stored(parts.join(open_keys, "key", "left_semi").groupBy("key", "root").agg(F.collect_list("node").alias("all")), "minhash-open")
+    parts = met.join(components(first), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    open_keys = stored(parts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "minhash-open-keys")
+    rest = parts.join(open_keys, "key", "left_semi")
+    # Lists of about LIST nodes, however large a component of a bucket is.
+    counts = rest.groupBy("key", "root").agg(F.ceil(F.count("*") / LIST).alias("lists"))
+    lists = rest.join(counts, ["key", "root"]).groupBy("key", "root", F.pmod(F.xxhash64("node"), "lists").alias("part")).agg(F.collect_list(F.struct("node", "size")).alias("all"))
+    groups = stored(lists.drop("part"), "minhash-open")
     a, b = groups.toDF("key", "ru", "us"), groups.toDF("key", "rv", "vs")
     across = a.join(b, "key").where("ru < rv").select(F.explode("us").alias("u"), "vs").select("u", F.explode("vs").alias("v"))
+    # Sets whose sizes differ by more than the limit allows cannot be alike.
+    across = across.where(F.least("u.size", "v.size") >= limit * F.greatest("u.size", "v.size")).select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
     across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return first.unionByName(verified(across, texts, words, limit))

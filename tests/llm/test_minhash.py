@@ -3,9 +3,10 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
-from lectern.llm import simhash
+from lectern.llm import minhash, simhash
 from tests.llm.test_operators import slow_components
 
 SF = "/root/testdata/sf0.01"
@@ -36,7 +37,9 @@ def test_stage_takes_near_copies_at_any_simhash_distance(spark):
     assert sorted(r.doc_id for r in got.collect()) == slow_kept([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_stage_links_a_crowded_family_as_brute_force_does(spark):
+@pytest.mark.parametrize("most", [3, 4096])
+def test_stage_links_a_crowded_family_as_brute_force_does(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "LIST", most)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
