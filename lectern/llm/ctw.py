@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import arrow_bytes, crc_fold, slices, stored
 
-DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 6, 2, 1 << 20, 250_000, 21, 300_000
-WINDOWS = 1_000_000  # distinct windows that a task holds before it sends them on
+DEPTH, TOP, SLICE, RUN, SLOTS, CODES = 5, 2, 1 << 20, 250_000, 21, 300_000
+WINDOWS = 1_500_000  # distinct windows that a task holds before it sends them on
 END = b"\n"
 
 
