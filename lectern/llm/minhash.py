@@ -5,8 +5,9 @@
    with probability (1 - 0.8 ** ROWS) ** BANDS = 1.3e-7, at 0.9 with 1e-15.
 2. Nodes that share a key are candidates, whatever the bucket's size; a pair counts only if the exact Jaccard
    similarity of its two shingle sets is at least the limit.
-3. First every node of a bucket is verified against the bucket's smallest node. Then only pairs of a bucket that those links
-   left in different components: together all pairs of every bucket, without pairing a large group of copies.
+3. First every node of a bucket of the first FIRST_BANDS keys is verified against the bucket's smallest node; then those of all
+   keys that nodes of different components still share; then the nodes of such buckets that are in different components against each
+   other. Together all pairs of every bucket, without pairing a large group of copies.
 
 Hashes of sets and rows have 64 bits: among ten thousand million texts three pairs of different ones are expected to share one.
 """
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_bytes, slices, stored
+from lectern.llm.common import arrow_bytes, scratch_path, slices, stored
 from lectern.llm.components import components
 from lectern.llm.shingles import majority, shingle_hashes
 
@@ -29,6 +30,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 5
 #: Texts whose shingles a task that verifies pairs keeps.
 CACHE_TEXTS = 64
 LIST = 4096
+#: The keys that are tried first: they link most of a large group of near copies, whose other keys then make no rows.
+FIRST_BANDS = 4
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -107,30 +110,50 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, limit: floa
     return pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
+def _open(seen: DataFrame, roots: DataFrame | None, bands: int, label: str) -> DataFrame:
+    """(key, node, size, root) of the keys, among each node's first bands, that nodes of different components share. Keys within one component make no rows."""
+    nodes = seen.select("node", "size", F.slice("keys", 1, bands).alias("keys"))
+    nodes = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = nodes.select("node", "size", "root", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("low")).where("a <> b").select("key", "low")
+    return stored(keyed.join(stored(shared, f"{label}-keys"), "key").distinct(), label)
+
+
 def links(docs: DataFrame, seen: DataFrame, words: int = WORDS, limit: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
     """(u, v) of nodes: links that connect all nodes which share a key, or are a pair of more (u, v), and are at least limit alike. seen: marks of docs, stored."""
-    keyed = seen.select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    met = stored(keyed.join(stored(shared, "minhash-shared"), "key").distinct(), "minhash-buckets")
-    stars = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
-    if more is not None:
-        stars = stars.unionByName(more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    stars = stored(stars.distinct(), "minhash-stars")
-    wanted = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "minhash-links")
+    tried = stored((more if more is not None else seen.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "minhash-tried")
+    pairs, roots = tried, None
+    for step, bands in enumerate((FIRST_BANDS, BANDS, BANDS)):
+        met = _open(seen, roots, bands, "minhash-buckets")
+        if step < 2:  # every node of a bucket against its smallest one
+            new = met.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+        else:  # then what is still in different components against each other
+            new = _across(met, limit)
+        new = stored(new.distinct().join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
+        pairs = tried.unionByName(new) if not step else new
+        tried = tried.unionByName(new)
+        verified(pairs, _texts(docs, seen, pairs), words, limit).write.parquet(f"{path}/{step}")
+        found = spark.read.schema("u long, v long").parquet(*[f"{path}/{i}" for i in range(step + 1)])
+        roots = components(found) if step < 2 else None
+    return found
+
+
+def _texts(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the nodes in pairs, one row each."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     chosen = seen.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     texts = docs.select(row_key(docs).alias("row"), F.col("text").cast("string").alias("text")).join(chosen, "row").select("node", "text")
-    texts = stored(texts.dropDuplicates(["node"]), "minhash-texts")
-    first = stored(verified(stars, texts, words, limit), "minhash-links")
-    parts = met.join(components(first), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    open_keys = stored(parts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "minhash-open-keys")
-    rest = parts.join(open_keys, "key", "left_semi")
-    # Lists of about LIST nodes, however large a component of a bucket is.
-    counts = rest.groupBy("key", "root").agg(F.ceil(F.count("*") / LIST).alias("lists"))
-    lists = rest.join(counts, ["key", "root"]).groupBy("key", "root", F.pmod(F.xxhash64("node"), "lists").alias("part")).agg(F.collect_list(F.struct("node", "size")).alias("all"))
-    groups = stored(lists.drop("part"), "minhash-open")
+    return stored(texts.dropDuplicates(["node"]), "minhash-texts")
+
+
+def _across(met: DataFrame, limit: float) -> DataFrame:
+    """Pairs of a bucket's nodes in different components, by lists of about LIST nodes, however large a component of a bucket is."""
+    counts = met.groupBy("key", "root").agg(F.ceil(F.count("*") / LIST).alias("lists"))
+    lists = met.join(counts, ["key", "root"]).groupBy("key", "root", F.pmod(F.xxhash64("node"), "lists").alias("part")).agg(F.collect_list(F.struct("node", "size")).alias("all"))
+    groups = stored(lists.drop("part"), "minhash-lists")
     a, b = groups.toDF("key", "ru", "us"), groups.toDF("key", "rv", "vs")
     across = a.join(b, "key").where("ru < rv").select(F.explode("us").alias("u"), "vs").select("u", F.explode("vs").alias("v"))
     # Sets whose sizes differ by more than the limit allows cannot be alike.
-    across = across.where(F.least("u.size", "v.size") >= limit * F.greatest("u.size", "v.size")).select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
-    across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    return first.unionByName(verified(across, texts, words, limit))
+    across = across.where(F.least("u.size", "v.size") >= limit * F.greatest("u.size", "v.size"))
+    return across.select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v"))
