@@ -57,3 +57,47 @@ def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
     rows = [(None, long), (None, long), (None, "other words " * 9), (7, "first text under one id " * 2), (7, "second and wholly unlike passage here now"), (8, long), (9, ""), (9, None)]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, "other words " * 9), (7, rows[3][1]), (7, rows[4][1]), (8, long), (9, "")])
+
+
+def test_a_family_without_links_makes_few_pairs(spark, monkeypatch):
+    """400 texts alike their common source, hardly any of them alike enough each other: brute force's rows, and no square of pairs."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(300, int(rng.integers(8, 14)), replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    for i in range(0, 40, 4):  # and copies of some with one more word: links that must be found
+        rows.append((400 + i, f"{rows[i][1]} y{i}"))
+    met, whole = [], minhash.verified
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == slow_kept(rows)
+    assert sum(met) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [0.5, 0.8, 0.95])
+def test_differences_to_any_hub_lose_no_pair(spark, limit):
+    """Sets of all sizes and distances, the hub any of them: every pair at the limit is there, unless both are alike the hub."""
+    rng = np.random.default_rng(7)
+    texts, sets = {}, {}
+    for i in range(160):
+        words = [f"w{j}" for j in range(int(rng.integers(40, 70)))]
+        for at in rng.choice(len(words), int(rng.integers(0, 6)), replace=False):
+            words[at] = f"x{int(rng.integers(0, 9))}"
+        texts[i], sets[i] = " ".join(words), minhash.shingles(" ".join(words).encode())
+    for hub in (0, 1, 2):
+        pairs = spark.createDataFrame([(hub, i, i) for i in texts if i != hub], "u long, v long, root long")
+        apart = minhash.differences(pairs, spark.createDataFrame(list(texts.items()), "node long, text string"), limit=limit)
+        near = {i for i in texts if minhash.similarity(sets[hub], sets[i]) >= limit}
+        want = {(i, j) for i in texts for j in texts if i < j and hub not in (i, j) and not {i, j} <= near and minhash.similarity(sets[i], sets[j]) >= limit}
+        got = {(min(r), max(r)) for r in minhash._across(apart, limit).collect()}
+        assert want and want <= got
+        assert {r.v for r in apart.where("near").collect()} == near - {hub}
