@@ -33,28 +33,36 @@ CACHE_WORDS, CACHE_BYTES = 800_000, 64 << 20
 GROUP, GROUP_BYTES, STEP_ROWS = 20_000, 1 << 18, 4 << 20
 
 #: tok: word, place, token. Rows of a word that still changes are rewritten each step; a word's result is its last step.
-#: A pair is taken if it stands at an odd place in its run of pairs that could be, so that those taken do not overlap.
+#: A pair is taken if it stands at an odd place in its run of pairs that could be, so that those taken do not overlap. Only words
+#: where two such pairs overlap need their places counted (the last branch); elsewhere each is taken.
 CONTRACT = """
 WITH RECURSIVE steps(step, word, place, token) AS (
     SELECT 0, word, place, token FROM tok
+  UNION ALL
+    (WITH met AS MATERIALIZED (
+      SELECT step, word, place, token, n, made, min(made) OVER (PARTITION BY word ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best, lag(made) OVER (PARTITION BY word ORDER BY place) AS before
+      FROM (
+        SELECT q.step, q.word, q.place, q.token, q.n, m.token AS made
+        FROM (SELECT step, word, place, token, lead(token) OVER w AS r, row_number() OVER w AS n FROM steps WHERE step < $steps WINDOW w AS (PARTITION BY word ORDER BY place)) q
+        LEFT JOIN merges m ON m.l = q.token AND m.r = q.r
+      )
+    ), runs AS MATERIALIZED (SELECT DISTINCT word FROM met WHERE made = best AND before = best)
+    SELECT step + 1, word, place, CASE WHEN made = best THEN best ELSE token END
+    FROM met WHERE best IS NOT NULL AND before IS DISTINCT FROM best AND word NOT IN (SELECT word FROM runs)
   UNION ALL
     SELECT step + 1, word, place, CASE WHEN taken THEN best ELSE token END
     FROM (
       SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY place) AS gone
       FROM (
         SELECT step, word, place, token, best, made = best AND (n - coalesce(max(CASE WHEN made IS DISTINCT FROM best THEN n END) OVER (PARTITION BY word ORDER BY place), 0)) % 2 = 1 AS taken
-        FROM (
-          SELECT q.step, q.word, q.place, q.token, q.n, m.token AS made, min(m.token) OVER (PARTITION BY q.word) AS best
-          FROM (SELECT step, word, place, token, lead(token) OVER w AS r, row_number() OVER w AS n FROM steps WHERE step < $steps WINDOW w AS (PARTITION BY word ORDER BY place)) q
-          LEFT JOIN merges m ON m.l = q.token AND m.r = q.r
-        ) WHERE best IS NOT NULL
+        FROM met WHERE word IN (SELECT word FROM runs)
       )
-    ) WHERE NOT coalesce(gone, false)
+    ) WHERE NOT coalesce(gone, false))
 )
 SELECT word, place, token, step FROM steps JOIN (SELECT word, max(step) AS step FROM steps GROUP BY word) USING (word, step) ORDER BY word, place
 """
-#: Ids and bytes of each word, in order of place.
-DECODE = "SELECT word, list(token ORDER BY place) AS ids, string_agg(bytes, '' ORDER BY place) AS hexed FROM done JOIN vocab USING (token) GROUP BY word ORDER BY word"
+#: Bytes of each word, in order of place.
+DECODE = "SELECT word, string_agg(bytes, '' ORDER BY place) AS hexed FROM done JOIN vocab USING (token) GROUP BY word ORDER BY word"
 
 
 def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
@@ -101,8 +109,10 @@ class Codec:
             self.db.register("done", pa.table({"word": word, "place": place, "token": token}))
             got = self.db.execute(DECODE).to_arrow_table()
             self.db.unregister("done")
-            for i, ids, hexed in zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), got.column("hexed").to_pylist(), strict=True):
-                pair = (np.array(ids, "<u4").tobytes(), bytes.fromhex(hexed))
+            order = np.argsort(place)  # places ascend from word to word
+            ids, first = token[order].astype("<u4").tobytes(), (4 * np.searchsorted(word[order], np.arange(len(n) + 1))).tolist()
+            for i, hexed in zip(got.column("word").to_pylist(), got.column("hexed").to_pylist(), strict=True):
+                pair = (ids[first[i] : first[i + 1]], bytes.fromhex(hexed))
                 self.held += len(pair[0]) + len(pair[1])
                 self.known[words[begin + i]] = pair
             begin = end

@@ -442,6 +442,17 @@ def test_bpe_as_the_library(spark, hard):
     assert got == multiset(want)
 
 
+def test_bpe_of_words_with_and_without_overlapping_pairs():
+    """In one query: runs of one letter, tokens that overlap unlike ones, words without any, of one byte and of several cuts."""
+    c, encode = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), ids_of()
+    words = ["a" * n for n in range(1, 40)] + ["-" * n for n in range(1, 40)] + ["ab" * n + "a" for n in range(1, 20)] + ["aab" * n for n in range(1, 20)]
+    words += [f"{x}{y}{x}" for x in ("hell", "ssss", "\u00e9\u00e9", "\u4e2d") for y in ("", "lll", "o", "\u4e2d\u4e2d\u4e2d")] + ["x", "ordinary", "unendurable"]
+    words = sorted(set(words))
+    c.learn(words)
+    assert [np.frombuffer(c.known[w][0], "<u4").tolist() for w in words] == [encode(w) for w in words]
+    assert [c.known[w][1].decode() for w in words] == words
+
+
 def test_bpe_forgets_and_relearns(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     c, encode = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), ids_of()
