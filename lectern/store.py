@@ -2,8 +2,10 @@
 
 A version names the folders of Parquet files that make up each table; unchanged folders are referred to, not copied. Segments
 are kept in groups of editions: adding one writes a folder beside the others, removing or repairing one rewrites the group it is in
-and no other, so the cost follows the edition and not the corpus. merge() joins small groups. The pointer of version N is
-written aside and renamed without overwriting: it is there whole or not at all, and of two writers from the same base one fails.
+and no other. A group of many editions, such as a whole table that was committed, is not rewritten for one: the version notes which
+of its editions are gone, and readers leave them out; once MOST_GONE are, it is rewritten. So the cost follows the edition and not the
+corpus. merge() joins small groups. The pointer of version N is written aside and renamed without overwriting: it is there whole or
+not at all, and of two writers from the same base one fails.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schema
 
-Group = dict  # folder, and the ids of its editions; None where they were not counted
+Group = dict  # folder, and the ids of its editions; None where they were not counted; gone: editions in the folder that are none of the group's
+FEW, MOST_GONE = 64, 1024  # editions of a group that is rewritten for one, and editions noted as gone in a group
 
 
 class Store:
@@ -45,8 +49,11 @@ class Store:
             stream.close()
 
     def _read(self, name: str, groups: list[Group]) -> DataFrame:
-        form = schema.TABLES[name]
-        return self.spark.read.schema(form).parquet(*[f"{self.path}/{g['folder']}" for g in groups]) if groups else self.spark.createDataFrame([], form)
+        form, whole = schema.TABLES[name], [g for g in groups if not g.get("gone")]
+        read = lambda *few: self.spark.read.schema(form).parquet(*[f"{self.path}/{g['folder']}" for g in few])
+        parts = [read(*whole)] if whole else [] if groups else [self.spark.createDataFrame([], form)]
+        parts += [read(g).where(~F.col("edition_id").isin(g["gone"])) for g in groups if g.get("gone")]
+        return reduce(DataFrame.unionByName, parts)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table of a version; before init() an empty one of the right columns."""
@@ -54,7 +61,7 @@ class Store:
 
     def edition(self, edition_id: int, version: int | None = None) -> DataFrame:
         """The segments of one edition, from the groups that can hold it."""
-        groups = [g for g in self.tables(version).get("segments", []) if g["editions"] is None or edition_id in g["editions"]]
+        groups = [g for g in self.tables(version).get("segments", []) if (g["editions"] is None or edition_id in g["editions"]) and edition_id not in g.get("gone", ())]
         return self._read("segments", groups).where(F.col("edition_id") == edition_id)
 
     def init(self) -> int:
@@ -104,15 +111,20 @@ class Store:
         return base + 1
 
     def _without(self, group: Group, gone: set[int]) -> list[Group]:
-        """The group without some editions: itself if it has none of them, and nothing if it has no other."""
+        """The group without some editions: itself if it has none of them, nothing if it has no other, and a group of many with them noted as gone."""
         have = None if group["editions"] is None else set(group["editions"])
         if have is not None and not have & gone:
             return [group]
         rest = None if have is None else sorted(have - gone)
+        if rest == []:
+            return []
         rows = self._read("segments", [group])
         if have is None and rows.where(F.col("edition_id").isin(list(gone))).isEmpty():
             return [group]
-        return [] if rest == [] else [self._written("segments", rows.where(~F.col("edition_id").isin(list(gone))), rest)]
+        noted = sorted({*group.get("gone", ()), *(gone if have is None else have & gone)})
+        if (have is None or len(have) > FEW) and len(noted) <= MOST_GONE:
+            return [group | {"editions": rest, "gone": noted}]
+        return [self._written("segments", rows.where(~F.col("edition_id").isin(list(gone))), rest)]
 
     def merge(self, most: int = 64) -> int:
         """Write groups of fewer than most editions together as one; the newest version."""
