@@ -52,8 +52,11 @@ def cjk_space(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
+    """Folded words. ASCII text, which has nothing to space or fold, goes a shorter way with the same result."""
     source, target = fold_table()
-    return F.regexp_extract_all(F.translate(F.lower(cjk_space(F.coalesce(c, F.lit("")))), source, target), F.lit("[\\p{L}\\p{N}\\p{Co}]+"), F.lit(0))
+    text = F.coalesce(c, F.lit(""))
+    words = lambda x, chars: F.regexp_extract_all(x, F.lit(f"[{chars}]+"), F.lit(0))
+    return F.when(F.length(text) == F.octet_length(text), words(F.lower(text), "a-z0-9")).otherwise(words(F.translate(F.lower(cjk_space(text)), source, target), "\\p{L}\\p{N}\\p{Co}"))
 
 
 def token_text(c: Column) -> Column:
@@ -74,7 +77,8 @@ def phrase_texts(query: str) -> list[str]:
 def may_match(content: Column, query: str) -> Column:
     """A cheap test that every text passes which matches(): it holds the query's ASCII words after folding. Worth it where the tokens are not stored."""
     source, target = fold_table()
-    folded = F.translate(F.lower(F.coalesce(content, F.lit(""))), source, target)
+    text = F.lower(F.coalesce(content, F.lit("")))
+    folded = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.translate(text, source, target))
     keep = F.lit(True)
     for word in sorted({w for p in phrase_texts(query) if p.isascii() for w in re.findall("[a-z0-9]+", p.lower())}, key=lambda w: (-len(w), w)):
         keep = keep & F.contains(folded, F.lit(word))
